@@ -9,8 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewright.llm.common import table
+from tidewright.llm.language_id import language_id
 from tidewright.llm.mixing import mix
+from tidewright.llm.quality import quality_scores
+from tidewright.llm.sharding import shard_documents
 from tidewright.llm.token_count import token_counts
+from tidewright.llm.url_filter import judge_urls
 
 
 def tokenizer_file(name: str) -> str:
@@ -31,12 +35,29 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id(table(spark, sf_dir, "documents"))
+
+
+def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sharded = shard_documents(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return sharded.drop("text")
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"))
 
 
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge_urls(table(spark, sf_dir, "pages"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_mixing, op8_token_counts]
+    found = [op1_mixing, op4_language_id, op6_sharding, op8_token_counts, op9_quality, op10_url_filter]
     return {f.__name__: f for f in found}
 
 
