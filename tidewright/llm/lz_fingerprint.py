@@ -86,53 +86,116 @@ def _pair(text: str, following: str) -> tuple[str, np.ndarray, np.ndarray]:
     return head + put, own, signature(other)
 
 
+_NAMES = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
+_KINDS = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
+SCHEMA = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+
+
 def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by stretch; each row's next is the row after it there.
+    """``stretch, guest, doc_id, text`` sorted in; each row's next is the row after it in its stretch.
 
-    Guests only serve as the row before them needs one: they come last in
-    their stretch.
+    Guests are the first rows of the stretch that follows: they come last and
+    only serve the row before them. A row's likeness to its next is filled in
+    once the next row's signature is known, so every text is parsed once.
     """
-    names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
-    kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
-    out: list[list] = [[] for _ in names]
+    out: list[list] = []
     held = None  # the row that waits for its next: stretch, doc_id, text
-
-    def emit(row: tuple, following: str | None) -> None:
-        doc_id, text = row[1], row[2]
-        edited, own, changed = _pair(text, text if following is None else following)
-        # The next document's signature is computed again as its own; equal texts need none.
-        after = own if following is None or following == text else fingerprint(following)
-        for column, value in zip(
-            out,
-            (
-                doc_id,
-                len(text),
-                hashlib.sha256(edited.encode()).hexdigest(),
-                fingerprint_text(own),
-                fingerprint_text(changed),
-                likeness(own, changed),
-                likeness(own, after),
-            ),
-            strict=True,
-        ):
-            column.append(value)
+    waiting = None  # the signature of the last row of ``out``, which lacks its likeness to the next
+
+    def fill(after: np.ndarray) -> None:
+        nonlocal waiting
+        if waiting is not None:
+            out[-1].append(likeness(waiting, after))
+            waiting = None
+
+    def emit(row: tuple, following: str) -> None:
+        nonlocal waiting
+        _, doc_id, text = row
+        edited, own, changed = _pair(text, following)
+        fill(own)
+        digest = hashlib.sha256(edited.encode()).hexdigest()
+        out.append([doc_id, len(text), digest, fingerprint_text(own), fingerprint_text(changed), likeness(own, changed)])
+        waiting = own
 
     def flush() -> pa.RecordBatch:
-        batch = pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], names=names)
-        for c in out:
-            c.clear()
-        return batch
+        done = out[: len(out) - (waiting is not None)]
+        del out[: len(done)]
+        columns = list(zip(*done, strict=True)) or [[] for _ in _NAMES]
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, _KINDS, strict=True)], names=_NAMES)
 
     for batch in batches:
         columns = [batch.column(i) for i in range(4)]
         for i in range(batch.num_rows):
             stretch, guest, doc_id, text = (c[i].as_py() for c in columns)
-            row = (stretch, doc_id, text or "", guest)
-            if held is not None and not held[3]:
-                emit(held, row[2] if held[0] == stretch else None)
-            held = row
-            if len(out[0]) >= 500:
+            text = text or ""
+            if held is not None and held[0] != stretch:  # no guest: nothing follows
+                emit(held, held[2])
+                fill(waiting)
+                held = None
+            if held is not None:
+                emit(held, text)
+            held = None if guest else (stretch, doc_id, text)
+            if guest:
+                fill(fingerprint(text) if waiting is not None else None)
+            if len(out) > 500:
                 yield flush()
-    if held is not None and not held[3]:
-        emit(held, None)
+    if held is not None:
+        emit(held, held[2])
+        fill(waiting)
     yield flush()
+
+
+def _stretch(bounds: list[int]):
+    """The number of a row's stretch: 0 for the largest ids, null ids in the last."""
+
+    @F.arrow_udf("int")
+    def find(ids: pa.Array) -> pa.Array:
+        known = ids.is_valid().to_numpy(zero_copy_only=False)
+        values = ids.fill_null(0).to_numpy(zero_copy_only=False)
+        above = len(bounds) - np.searchsorted(np.array(bounds, np.int64), values, side="right")
+        return pa.array(np.where(known, above, len(bounds) + 1).astype(np.int32))
+
+    return find
+
+
+def lz_fingerprints(docs: DataFrame, stretches: int | None = None) -> DataFrame:
+    """Fingerprints of every text and of its edited text.
+
+    Returns ``doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint,
+    near_edited, near_next``. The edited text has the last half of the code
+    points (rounded down) replaced by as many first ones of the next document in
+    falling ``doc_id``, or all it has; after the last comes the first. Null texts
+    are empty; null ids come last; rows of one id follow each other by their
+    text's hash. A single row is its own next. Equal texts have equal
+    fingerprints; texts without phrases have empty ones and are alike. An empty
+    table gives an empty one; other columns are not used.
+
+    Ids are cut into stretches at quantiles (a bounded list of bounds). Texts
+    move once, to their stretch; each stretch also gets one guest, the first row
+    of the next one, so no other order over all rows is needed.
+    """
+    spark = docs.sparkSession
+    n = stretches or max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"))
+    parts = [i / n for i in range(1, n)]
+    bounds = ids.agg(F.percentile_approx("doc_id", parts, 10_000)).first()[0] if parts else []
+    bounds = sorted(set(bounds or []))
+    find = _stretch(bounds)
+    tops = ids.groupBy(find("doc_id").alias("s")).agg(F.max("doc_id").alias("top")).collect()
+    tops.sort(key=lambda r: r.s)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    dealt = rows.select(find("doc_id").alias("stretch"), F.lit(False).alias("guest"), "doc_id", "text")
+    if tops:
+        after = [(a.s, b.top) for a, b in zip(tops, tops[1:] + tops[:1], strict=True)]
+        wanted = F.broadcast(spark.createDataFrame(after, "stretch int, top long"))
+        guests = (
+            rows.join(wanted, F.col("doc_id").eqNullSafe(F.col("top")))
+            .groupBy("stretch")
+            .agg(F.min_by(F.struct("doc_id", "text"), F.xxhash64("text")).alias("g"))
+            .select("stretch", F.lit(True).alias("guest"), "g.doc_id", "g.text")
+        )
+        dealt = dealt.unionByName(guests)
+    sorted_rows = dealt.repartitionById(len(bounds) + 2, F.col("stretch")).sortWithinPartitions(
+        "stretch", "guest", F.col("doc_id").desc_nulls_last(), F.xxhash64("text")
+    )
+    return sorted_rows.mapInArrow(_rows, SCHEMA)

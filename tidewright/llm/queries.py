@@ -9,10 +9,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewright.llm.common import table
+from tidewright.llm.decontaminate import contaminated_pairs
 from tidewright.llm.language_id import language_id
+from tidewright.llm.lm_score import lm_scores
+from tidewright.llm.lz_fingerprint import lz_fingerprints
 from tidewright.llm.mixing import mix
 from tidewright.llm.quality import quality_scores
 from tidewright.llm.sharding import shard_documents
+from tidewright.llm.simhash import near_duplicates
 from tidewright.llm.token_count import token_counts
 from tidewright.llm.url_filter import judge_urls
 
@@ -35,15 +39,31 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_lz_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lz_fingerprints(table(spark, sf_dir, "documents"))
+
+
+def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id(table(spark, sf_dir, "documents"))
 
 
+def op5_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scores(table(spark, sf_dir, "documents"))
+
+
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     sharded = shard_documents(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return sharded.drop("text")
 
 
+def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminated_pairs(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"))
 
@@ -57,7 +77,18 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_mixing, op4_language_id, op6_sharding, op8_token_counts, op9_quality, op10_url_filter]
+    found = [
+        op1_mixing,
+        op2_lz_fingerprint,
+        op3_simhash,
+        op4_language_id,
+        op5_lm_score,
+        op6_sharding,
+        op7_decontaminate,
+        op8_token_counts,
+        op9_quality,
+        op10_url_filter,
+    ]
     return {f.__name__: f for f in found}
 
 
