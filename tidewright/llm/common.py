@@ -61,6 +61,11 @@ def sub_bucket(cols: Sequence[Column], n: int) -> Column:
     return F.pmod(F.xxhash64(*cols), F.lit(n)).cast("int")
 
 
+def salts_for(rows: int, each: int = 50_000) -> int:
+    """Sub-groups for :func:`distributed_rank`, so that none has many more than ``each`` rows."""
+    return max(64, -(-rows // each))
+
+
 def distributed_rank(
     df: DataFrame, keys: Sequence[str], order: Sequence[Column], salt: Sequence[Column], out: str, salts: int = 64
 ) -> DataFrame:
@@ -69,27 +74,29 @@ def distributed_rank(
     Each group is dealt over ``salts`` sub-groups; the sub-groups' counts, a
     table of at most ``salts`` rows a group, give each sub-group its first
     number, and a window numbers the rows inside it. ``salt`` must tell rows
-    apart well; ``order`` fixes the numbers within a sub-group.
+    apart well; ``order`` fixes the numbers within a sub-group. Null keys are a
+    group of their own. Rows move once: window and join share their partitioning.
     """
     b, n, off = (fresh(df, x) for x in ("_b", "_n", "_off"))
-    dealt = df.withColumn(b, sub_bucket(salt, salts))
-    first = Window.partitionBy(*keys).orderBy(b).rowsBetween(Window.unboundedPreceding, -1)
+    plain, parts = df, []
+    for k in keys:  # nulls as values, so that the join is by plain equality
+        parts += [fresh(df, f"_v_{k}"), fresh(df, f"_u_{k}")]
+        plain = plain.withColumn(parts[-2], F.coalesce(F.col(k).cast("string"), F.lit(""))).withColumn(parts[-1], F.col(k).isNull())
+    dealt = plain.withColumn(b, sub_bucket(salt, salts))
+    parts.append(b)
+    first = Window.partitionBy(*parts[:-1]).orderBy(b).rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
-        dealt.groupBy(*keys, b)
+        dealt.groupBy(*parts)
         .agg(F.count(F.lit(1)).alias(n))
         .withColumn(off, F.coalesce(F.sum(n).over(first), F.lit(0)))
-        .drop(n)
+        .select(*[F.col(c).alias(f"{c}__o") for c in parts], off)
     )
-    offsets = offsets.select(*[F.col(k).alias(f"{k}__o") for k in keys], F.col(b).alias(f"{b}__o"), off)
-    inner = Window.partitionBy(*keys, b).orderBy(*order)
-    ranked = dealt.withColumn(n, F.row_number().over(inner) - 1)
-    same = F.col(b) == F.col(f"{b}__o")
-    for k in keys:
-        same = same & F.col(k).eqNullSafe(F.col(f"{k}__o"))
+    ranked = dealt.withColumn(n, F.row_number().over(Window.partitionBy(*parts).orderBy(*order)) - 1)
+    same = [F.col(c) == F.col(f"{c}__o") for c in parts]
     return (
         ranked.join(offsets, same)
         .withColumn(out, (F.col(n) + F.col(off)).cast("long"))
-        .drop(b, n, off, f"{b}__o", *[f"{k}__o" for k in keys])
+        .drop(n, off, *parts, *[f"{c}__o" for c in parts])
     )
 
 

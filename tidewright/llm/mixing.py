@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewright.llm.common import distributed_rank, fresh
+from tidewright.llm.common import distributed_rank, fresh, salts_for
 
 #: The fold over one period: takes the sources' block counts ``c`` in a
 #: composition, gives for each slot the index of its source.
@@ -91,9 +91,9 @@ def mix(
             given = F.when(F.col("source") == name, F.lit(max(1, int(q)))).otherwise(given)
         shares = counts.withColumn("q", given.cast("long"))
     shares = shares.withColumn("i", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("source")) - 1)
-    n_sources = counts.count()
-    if n_sources > max_sources:
-        raise ValueError(f"{n_sources} sources; a period has room for {max_sources}")
+    sizes = counts.limit(max_sources + 1).collect()
+    if len(sizes) > max_sources:
+        raise ValueError(f"a period has room for {max_sources} sources; there are more")
 
     # Where compositions change: the first period a source cannot fill, and the one after.
     kinds = (
@@ -131,7 +131,7 @@ def mix(
 
     salt = [F.col(c) for c in docs.columns if c in ("doc_id", "text", "n_chars")] or [F.lit(0)]
     order = [F.col(c).asc_nulls_last() for c in docs.columns if c in ("doc_id",)] or [F.lit(0)]
-    ranked = distributed_rank(keyed, [src], order, salt, rank)
+    ranked = distributed_rank(keyed, [src], order, salt, rank, salts_for(block * max((r.blocks for r in sizes), default=0)))
     q = shares.select(F.col("source").alias("q_source"), F.col("q").alias("q_of"))
     placed = (
         ranked.join(F.broadcast(q), F.col(src).eqNullSafe(F.col("q_source")))

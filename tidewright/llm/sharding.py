@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewright.llm.common import distributed_rank, fresh, materialize
+from tidewright.llm.common import distributed_rank, fresh, materialize, salts_for
 
 
 def _hub_counts(linked: DataFrame, shards: int) -> DataFrame:
@@ -51,7 +51,8 @@ def propagate(rows: DataFrame, shards: int = 24, rounds: int = 6) -> DataFrame:
     that it fills takes no more of it. Ends early once nothing asks to move.
     An empty table stays empty.
     """
-    rows = distributed_rank(rows.select("rid", "hub"), [], [F.col("rid")], [F.col("rid")], "n", salts=256)
+    salts = salts_for(rows.count())
+    rows = distributed_rank(rows.select("rid", "hub"), [], [F.col("rid")], [F.col("rid")], "n", salts)
     rows = rows.withColumn("shard", (F.col("n") % shards).cast("int")).drop("n")
     sizes = rows.groupBy("hub").agg(F.count(F.lit(1)).alias("hub_rows")).where("hub is not null and hub_rows > 1")
     rows = materialize(
@@ -96,7 +97,7 @@ def propagate(rows: DataFrame, shards: int = 24, rounds: int = 6) -> DataFrame:
         spark = rows.sparkSession
         most = spark.createDataFrame([(a, b, n) for (a, b), n in movers.items()], "a int, b int, most long")
         moved = (
-            distributed_rank(asking, ["shard", "target"], [F.col("rid")], [F.col("rid")], "n")
+            distributed_rank(asking, ["shard", "target"], [F.col("rid")], [F.col("rid")], "n", salts)
             .join(F.broadcast(most), (F.col("shard") == F.col("a")) & (F.col("target") == F.col("b")))
             .where("n < most")
             .select("rid", F.col("b").alias("to_shard"))
@@ -112,7 +113,7 @@ def propagate(rows: DataFrame, shards: int = 24, rounds: int = 6) -> DataFrame:
             # The first number of each sub-group is all that is needed to leave most rows out.
             ranked = distributed_rank(
                 loose.join(F.broadcast(needed), F.col("shard") == F.col("a"), "left_semi"),
-                ["shard"], [F.col("rid")], [F.col("rid")], "n", salts=256,
+                ["shard"], [F.col("rid")], [F.col("rid")], "n", salts,
             )
             filled = ranked.join(
                 F.broadcast(spans_df),
@@ -151,7 +152,8 @@ def shard_documents(docs: DataFrame, shards: int = 24, rounds: int = 6) -> DataF
     )
     keyed = materialize(keyed)  # from here on the ids are fixed
     placed = propagate(keyed.select(F.col(rid).alias("rid"), F.col("_hub").alias("hub")), shards, rounds)
-    placed = distributed_rank(placed.select("rid", "shard"), ["shard"], [F.col("rid")], [F.col("rid")], "slot", salts=256)
+    salts = salts_for(-(-placed.count() // shards))
+    placed = distributed_rank(placed.select("rid", "shard"), ["shard"], [F.col("rid")], [F.col("rid")], "slot", salts)
     return (
         keyed.join(placed, F.col(rid) == F.col("rid"))
         .withColumn("law", F.lit("rows"))
