@@ -2,11 +2,12 @@
 
 The words of the test items are numbered; a document's words get those numbers,
 others none. Where three words in a row are an item's, a seed joins the passage
-to the item. Only rare seeds count: of each item the half that the fewest
-documents hold (the corpus is counted for that), so an item that very many
-documents copy keeps its seeds. Around the seeds a local alignment of words
-scores how much of the item the passage holds, in order, with words changed,
-added or left out.
+to the item. Only rare seeds count: the whole corpus is counted, and a seed in
+over a thousandth of all documents is left out if it is also in over four times
+as many as the item's seeds commonly are. So an item that very many documents
+copy keeps its seeds, and edited copies keep those that are left. Around the
+seeds a local alignment of words scores how much of the item the passage holds,
+in order, with words changed, added or left out.
 """
 
 from __future__ import annotations
@@ -67,7 +68,7 @@ class Items:
 
 
 def index(rows: list[tuple[int, str | None]], spread: dict[int, int] | None = None) -> Items:
-    """Index items; with ``spread`` (documents by seed code) only the rare half of each.
+    """Index items; with ``spread`` (documents by seed code, all under -1) only their rare seeds.
 
     Items of fewer than three words, null and empty ones are left out: no
     passage can be told from chance by them.
@@ -85,7 +86,9 @@ def index(rows: list[tuple[int, str | None]], spread: dict[int, int] | None = No
         at, codes = out.codes(numbers)
         if spread is not None:
             held = np.array([spread.get(c, 0) for c in codes.tolist()])
-            rare = held <= np.sort(held)[len(held) // 2]
+            some = np.sort(held[held > 0])
+            usual = some[len(some) // 2] if len(some) else 0
+            rare = (held > 0) & ((held <= 4 * usual) | (held * 1000 <= spread.get(-1, 0)))
             at, codes = at[rare], codes[rare]
         entries.append(np.stack([codes, np.full(len(at), i), at], axis=1))
     if entries:
@@ -183,15 +186,17 @@ def item_blocks(items: DataFrame, block_bytes: int = 8 << 20) -> list[list[tuple
 
 
 def _spread(docs: DataFrame, items: Items) -> dict[int, int]:
-    """The number of documents that hold each seed, summed in tasks and then over them."""
+    """The number of documents that hold each seed, and of all (-1), summed in tasks and then over them."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = np.zeros(len(items.seeds), np.int64)
+        rows = 0
         for batch in batches:
+            rows += batch.num_rows
             for value in batch.column(0):
                 held[np.unique(items.found(items.codes(items.numbers(value.as_py()))[1])[1])] += 1
         some = np.flatnonzero(held)
-        yield pa.RecordBatch.from_arrays([pa.array(items.seeds[some]), pa.array(held[some])], names=["seed", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(items.seeds[some], -1)), pa.array(np.append(held[some], rows))], names=["seed", "n"])
 
     counted = docs.select("text").mapInArrow(run, "seed long, n long").groupBy("seed").agg(F.sum("n").alias("n"))
     return {r.seed: r.n for r in counted.collect()}
@@ -224,7 +229,7 @@ def _matching(items: Items, share: float):
     return run
 
 
-def with_matches(docs: DataFrame, benchmark: DataFrame, out: str, share: float = 0.5, block_bytes: int = 8 << 20) -> DataFrame:
+def with_matches(docs: DataFrame, benchmark: DataFrame, out: str, share: float = 0.4, block_bytes: int = 8 << 20) -> DataFrame:
     """Add the array ``out`` of the test items that each document's text holds.
 
     Each has ``item_id``, ``score`` (words in order that fit, less a half for
@@ -244,13 +249,13 @@ def with_matches(docs: DataFrame, benchmark: DataFrame, out: str, share: float =
     return docs.withColumn(out, F.concat(*found) if found else empty)
 
 
-def contaminated_pairs(docs: DataFrame, benchmark: DataFrame, share: float = 0.5) -> DataFrame:
+def contaminated_pairs(docs: DataFrame, benchmark: DataFrame, share: float = 0.4) -> DataFrame:
     """``doc_id, item_id, score, first_word, last_word`` of the items that documents hold."""
     rows = with_matches(docs.select("doc_id", "text"), benchmark, "_m", share)
     return rows.select("doc_id", F.explode("_m").alias("m")).select("doc_id", "m.*")
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, share: float = 0.5) -> DataFrame:
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, share: float = 0.4) -> DataFrame:
     """``docs`` without the rows that hold a test item, all columns as they are."""
     m = fresh(docs, "_m")
     return with_matches(docs, benchmark, m, share).where(F.size(m) == 0).drop(m)
