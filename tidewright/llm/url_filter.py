@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewright.llm.common import commonest
+from tidewright.llm.common import commonest, materialize
 
 #: Words of hosts to keep out: gambling, pharmacy, advertising, link farms.
 SEED_TERMS = (
@@ -154,7 +154,7 @@ def unigrams(pages: DataFrame, most: int = 50_000, least: int = 3) -> dict[str,
     plain = F.regexp_replace(F.coalesce("html", F.lit("")), r"<[^>]*>", " ")
     words = F.explode(F.split(F.lower(plain), r"[^a-z]+")).alias("word")
     counted = pages.select(words).where(F.length("word").between(2, 20)).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
-    top, _, _ = commonest(counted.where(F.col("n") >= least), "n", most)
+    top, _, _ = commonest(materialize(counted.where(F.col("n") >= least)), "n", most)
     return {r.word: r.n for r in top.collect()}
 
 
@@ -212,7 +212,8 @@ def judge_urls(pages: DataFrame, terms=SEED_TERMS, rules=RULES, most_tokens: int
         .groupBy("token")
         .agg(F.sum("block").alias("block"), F.sum("allow").alias("allow"))
     )
-    kept, _, _ = commonest(words.withColumn("n", F.col("block") + F.col("allow")), "n", most_tokens)
+    words = materialize(words.withColumn("n", F.col("block") + F.col("allow")))
+    kept, _, _ = commonest(words, "n", most_tokens)
     table = {r.token: (r.block, r.allow) for r in kept.collect()}
     model = NaiveBayes({t: c for t, c in table.items() if t}, table.get("", (0, 0)))
 
