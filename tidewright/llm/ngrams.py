@@ -61,16 +61,16 @@ def class_sample(rows: DataFrame, label: str, per_class: int, seed: int, classes
     """At most ``per_class`` ids of each of the commonest ``classes`` labels.
 
     Chosen by a hash of the id, so the same rows are chosen however the table is
-    dealt. Only ids and labels are ranked; Spark keeps ``per_class`` rows a
-    label in each task before it shuffles.
+    dealt. Labels are counted first; then all but about ``8 * per_class`` ids of
+    a label, those of the largest hashes, are left out by a filter, so what is
+    ranked does not grow with the table.
     """
-    rank = F.row_number().over(Window.partitionBy(label).orderBy("_h", "doc_id"))
     ids = rows.select("doc_id", label).where(F.col("doc_id").isNotNull() & F.col(label).isNotNull())
-    ids = ids.withColumn("_h", F.xxhash64("doc_id", F.lit(seed))).withColumn("_r", rank).where(F.col("_r") <= per_class)
-    common = ids.groupBy(label).agg(F.count(F.lit(1)).alias("_n")).orderBy(F.desc("_n"), label).limit(classes)
-    return ids.join(F.broadcast(common.select(F.col(label).alias("_l"))), F.col(label) == F.col("_l")).select(
-        "doc_id", label, "_h"
-    )
+    ids = ids.withColumn("_h", F.xxhash64("doc_id", F.lit(seed))).withColumn("_u", F.pmod("_h", F.lit(1 << 40)))
+    common = ids.groupBy(F.col(label).alias("_l")).agg(F.count(F.lit(1)).alias("_n")).orderBy(F.desc("_n"), "_l").limit(classes)
+    near = ids.join(F.broadcast(common), F.col(label) == F.col("_l")).where(F.col("_u").cast("double") * F.col("_n") < 8 * per_class * float(1 << 40))
+    rank = F.row_number().over(Window.partitionBy(label).orderBy("_u", "_h", "doc_id"))
+    return near.withColumn("_r", rank).where(F.col("_r") <= per_class).select("doc_id", label, "_h")
 
 
 def sample_texts(docs: DataFrame, ids: DataFrame, label: str, most: int) -> tuple[list[str], list]:
