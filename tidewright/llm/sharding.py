@@ -54,7 +54,8 @@ def propagate(rows: DataFrame, shards: int = 24, rounds: int = 6) -> DataFrame:
     salts = salts_for(rows.count())
     rows = distributed_rank(rows.select("rid", "hub"), [], [F.col("rid")], [F.col("rid")], "n", salts)
     rows = rows.withColumn("shard", (F.col("n") % shards).cast("int")).drop("n")
-    sizes = rows.groupBy("hub").agg(F.count(F.lit(1)).alias("hub_rows")).where("hub is not null and hub_rows > 1")
+    # Written first, so that the join has two plain sides and Spark can split a hub's rows.
+    sizes = materialize(rows.groupBy("hub").agg(F.count(F.lit(1)).alias("hub_rows")).where("hub is not null and hub_rows > 1"))
     rows = materialize(
         rows.join(sizes.withColumnRenamed("hub", "h"), F.col("hub") == F.col("h"), "left")
         .withColumn("hub", F.when(F.col("hub_rows").isNotNull(), F.col("hub")))
@@ -80,6 +81,7 @@ def propagate(rows: DataFrame, shards: int = 24, rounds: int = 6) -> DataFrame:
             .where("target is not null")
             .select(F.col("hub").alias("h"), "target", "closed")
         )
+        wish = materialize(wish)  # as above
         asking = (
             linked.join(wish, F.col("hub") == F.col("h"))
             .where((F.col("target") != F.col("shard")) & ~F.get("closed", F.col("shard")))
