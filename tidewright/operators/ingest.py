@@ -71,14 +71,17 @@ def coerce(value: Column, sort: str) -> Column:
     return F.when(k != "VOID", value)
 
 
-def by_plain_key(record: Column) -> Column:
-    """A record's members by their compared keys; of keys that become equal the last by name wins."""
-    entries = F.transform(F.map_entries(members(record)), lambda e: F.struct(plain_key(e["key"]).alias("key"), e["value"].alias("value")))
-    kept = F.filter(
-        F.transform(entries, lambda e, i: F.struct(e["key"].alias("key"), e["value"].alias("value"), i.alias("i"))),
-        lambda e: ~F.exists(F.slice(F.transform(entries, lambda x: x["key"]), e["i"] + 2, F.size(entries)), lambda x: x == e["key"]),
-    )
-    return F.map_from_entries(F.transform(kept, lambda e: F.struct(e["key"].alias("key"), e["value"].alias("value"))))
+def with_plain_keys(records: DataFrame) -> DataFrame:
+    """Add ``_by_key``: a record's members by their compared keys.
+
+    Of keys that become equal the last by name wins. The entries are a column of
+    their own, so that the test for repeats does not take the record apart again.
+    """
+    entries = F.transform(F.map_entries(members(F.col("record"))), lambda e: F.struct(plain_key(e["key"]).alias("key"), e["value"].alias("value")))
+    found, all_ = records.withColumn("_entries", entries), F.col("_entries")
+    last = F.filter(all_, lambda e, i: ~F.exists(F.slice(all_, i + 2, F.size(all_)), lambda x: x["key"] == e["key"]))
+    plain = F.size(F.array_distinct(all_["key"])) == F.size(all_)
+    return found.withColumn("_by_key", F.map_from_entries(F.when(plain, all_).otherwise(last))).drop("_entries")
 
 
 def typed_rows(records: DataFrame, columns: dict[str, str], region: str, keep: tuple[str, ...] = (), special: dict[str, Column] | None = None) -> DataFrame:
@@ -87,7 +90,7 @@ def typed_rows(records: DataFrame, columns: dict[str, str], region: str, keep: t
     Keys without a column are dropped, columns without a key are typed nulls.
     ``special`` overrides columns by expressions over the map ``_by_key``.
     """
-    found = records.withColumn("_by_key", by_plain_key(F.col("record")))
+    found = with_plain_keys(records)
     special = special or {}
     made = []
     for name, sort in columns.items():

@@ -76,20 +76,19 @@ def summarize(rows: DataFrame, key: str, value: str, parts: tuple[int, ...] = (5
     Nulls are left out; a key without values has zeros.
     """
     plain = rows.select(F.col(key).alias("_key"), F.col(value).cast("double").alias("_v"))
-    counted = plain.groupBy("_key", "_v").agg(F.count("_v").alias("_k")).where("_v is not null")
+    counted = plain.groupBy("_key", "_v").agg(F.count("_v").alias("_k"))  # nulls: one row that counts nothing
     upto = Window.partitionBy("_key").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
     ranked = counted.withColumn("_upto", F.sum("_k").over(upto)).withColumn("_n", F.sum("_k").over(Window.partitionBy("_key")))
     at = lambda p: F.min(F.when(F.col("_upto") > F.floor(F.lit(p) / 100 * (F.col("_n") - 1) + 0.5), F.col("_v")))
-    found = ranked.groupBy(F.col("_key").alias("_found")).agg(
+    found = ranked.groupBy("_key").agg(
         F.max("_n").alias("n"),
         F.min("_v").alias("min"),
         *[at(p).alias(f"p{p}") for p in parts],
-        (F.sum(F.col("_v") * F.col("_k")) / F.sum("_k")).alias("mean"),
+        F.try_divide(F.sum(F.col("_v") * F.col("_k")), F.sum("_k")).alias("mean"),
         F.max("_v").alias("max"),
     )
-    out = plain.select("_key").distinct().join(found, F.col("_key").eqNullSafe(F.col("_found")), "left")
     measures = [F.coalesce(c, F.lit(0.0)).alias(c) for c in ("min", *[f"p{p}" for p in parts], "mean", "max")]
-    return out.select(F.col("_key").alias(key), F.coalesce("n", F.lit(0)).cast("bigint").alias("n"), *measures)
+    return found.select(F.col("_key").alias(key), F.coalesce("n", F.lit(0)).cast("bigint").alias("n"), *measures)
 
 
 def after_warm_up(rows: DataFrame, key: str, order: str, first: int) -> DataFrame:
