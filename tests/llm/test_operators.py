@@ -181,6 +181,32 @@ def test_near_copies_stage(spark, docs, odd, empty):
     assert near_copies.keep_one_of_each(empty).count() == 0
 
 
+def test_near_copies_with_edits_in_one_block(spark):
+    rng = np.random.default_rng(3)
+    drawn = lambda n: [f"t{x}" for x in rng.integers(0, 30_000, n)]
+    edits = [
+        lambda t: t + drawn(len(t) * 20 // 100),  # appended
+        lambda t: t[len(t) * 17 // 100 :],  # cut
+        lambda t: t[: len(t) // 2] + drawn(len(t) * 7 // 100) + t[len(t) // 2 + len(t) * 7 // 100 :],  # replaced
+    ]
+    shingles = lambda t: {tuple(t[i : i + 5]) for i in range(len(t) - 4)}
+    rows, none = [], np.zeros(0, np.uint64)
+    for i in range(240):
+        old = drawn(int(rng.integers(150, 400)))
+        new = edits[i % 3](old)
+        a, b = shingles(old), shingles(new)
+        assert len(a & b) / len(a | b) >= 0.8
+        x, y = (near_copies.shingles(" ".join(t).encode()) for t in (old, new))
+        assert len(x) == len(a) and len(np.intersect1d(x, y)) == len(a & b)
+        # Every pair meets, whichever shingles are called common.
+        common = np.sort(rng.choice(x, len(x) // 2, replace=False))
+        for late in (none, common):
+            assert len(np.intersect1d(*(near_copies.prefix(h, late, np.arange(len(late))) for h in (x, y))))
+        rows += [(2 * i, " ".join(old), "en", "s", 1), (2 * i + 1, " ".join(new), "en", "s", 1)]
+    kept = {r.doc_id for r in near_copies.keep_one_of_each(spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint")).collect()}
+    assert kept >= set(range(0, 480, 2)) and sum(d % 2 for d in kept) <= 240 * 0.02
+
+
 def test_language_id_held_out_and_odd_rows(docs, odd, empty):
     rows = language_id(docs).join(docs.select(F.col("doc_id").alias("d"), "lang"), F.col("doc_id") == F.col("d")).where("held_out").collect()
     assert sum(r.lang == r.lang_pred for r in rows) >= 0.95 * len(rows)
