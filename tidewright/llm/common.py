@@ -8,6 +8,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
@@ -67,22 +68,30 @@ def salts_for(rows: int, each: int = 50_000) -> int:
 
 
 def distributed_rank(
-    df: DataFrame, keys: Sequence[str], order: Sequence[Column], salt: Sequence[Column], out: str, salts: int = 64
+    df: DataFrame,
+    keys: Sequence[str],
+    order: Sequence[Column],
+    salt: Sequence[Column],
+    out: str,
+    salts: int = 64,
+    ranges: Column | None = None,
 ) -> DataFrame:
     """Number the rows of each group from 0 without holding a group in one task.
 
     Each group is dealt over ``salts`` sub-groups; the sub-groups' counts, a
     table of at most ``salts`` rows a group, give each sub-group its first
     number, and a window numbers the rows inside it. ``salt`` must tell rows
-    apart well; ``order`` fixes the numbers within a sub-group. Null keys are a
-    group of their own. Rows move once: window and join share their partitioning.
+    apart well; ``order`` fixes the numbers within a sub-group. With ``ranges``, a
+    whole number that never falls along ``order``, it names the sub-groups in place
+    of ``salt`` and the numbers follow ``order`` throughout. Null keys are a group of
+    their own. Rows move once: window and join share their partitioning.
     """
     b, n, off = (fresh(df, x) for x in ("_b", "_n", "_off"))
     plain, parts = df, []
     for k in keys:  # nulls as values, so that the join is by plain equality
         parts += [fresh(df, f"_v_{k}"), fresh(df, f"_u_{k}")]
         plain = plain.withColumn(parts[-2], F.coalesce(F.col(k).cast("string"), F.lit(""))).withColumn(parts[-1], F.col(k).isNull())
-    dealt = plain.withColumn(b, sub_bucket(salt, salts))
+    dealt = plain.withColumn(b, sub_bucket(salt, salts) if ranges is None else ranges)
     parts.append(b)
     first = Window.partitionBy(*parts[:-1]).orderBy(b).rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
@@ -100,6 +109,21 @@ def distributed_rank(
     )
 
 
+def read_order(docs: DataFrame, part: str, place: str) -> DataFrame:
+    """Add ``part`` and ``place``, by which the rows of ``docs`` are in their order.
+
+    Of a table of files, the order is by the files' names and the rows' places in
+    them, however Spark deals files to tasks; else it is that of partitions.
+    """
+    if docs._jdf.queryExecution().analyzed().children().isEmpty():
+        try:
+            return docs.withColumn(part, F.col("_metadata.file_path")).withColumn(place, F.col("_metadata.row_index"))
+        except AnalysisException:
+            pass  # no files
+    at = F.monotonically_increasing_id()
+    return docs.withColumn(part, F.format_string("%012d", F.shiftright(at, 33))).withColumn(place, at.bitwiseAND(F.lit((1 << 33) - 1)))
+
+
 def commonest(counts: DataFrame, n: str, most: int) -> tuple[DataFrame, int, int]:
     """The rows of ``counts`` with the largest ``n``, ``most`` at most, and the sum and number of all.
 

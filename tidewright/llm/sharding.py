@@ -1,8 +1,9 @@
 """Sharding by balanced label propagation.
 
 Documents that share a hub (equal texts, or any group a caller names) are
-linked. Each document starts in a shard that keeps the counts at most one
-apart. In each round the rows of a hub learn, by a join with the hub's counts by
+linked. Rows are dealt in their order, one to each shard in each turn, so the
+counts are at most one apart and the shards, read side by side, give that order
+again. In each round the rows of a hub learn, by a join with the hub's counts by
 shard, the shard that holds most of the hub and still has room, and ask to move
 there. Moves are admitted as swaps: as many rows go from ``a`` to ``b`` as come
 from ``b`` to ``a``, first rows that ask to, then rows without links, which lose
@@ -11,10 +12,10 @@ nothing. So every round keeps every shard's count, and cut links only fall.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewright.llm.common import distributed_rank, fresh, materialize, salts_for
+from tidewright.llm.common import distributed_rank, fresh, materialize, read_order, salts_for
 
 
 def _hub_counts(linked: DataFrame, shards: int) -> DataFrame:
@@ -43,8 +44,18 @@ def _admitted(asked: dict[tuple[int, int], int], free: list[int]) -> tuple[dict,
     return movers, fillers
 
 
+def _dealt(at: str, shards: int) -> Column:
+    """The shard of the row at place ``at``: each run of ``shards`` rows has one in each.
+
+    Runs start at shards by a hash of their number, so that a pattern of rows that
+    repeats does not put one kind of row into one shard.
+    """
+    first = F.pmod(F.xxhash64(F.expr(f"{at} div {shards}")), F.lit(shards))
+    return ((F.col(at) + first) % shards).cast("int")
+
+
 def propagate(rows: DataFrame, shards: int = 24, rounds: int = 6) -> DataFrame:
-    """Assign ``shard`` to ``rows`` (a unique ``rid``, a nullable ``hub``).
+    """Assign ``shard`` to ``rows`` (``rid``, from 0 without gaps; a nullable ``hub``).
 
     A null hub has no links. Counts of shards differ by one at most after each
     round. A hub with more rows than a shard holds spreads over several: a shard
@@ -52,8 +63,7 @@ def propagate(rows: DataFrame, shards: int = 24, rounds: int = 6) -> DataFrame:
     An empty table stays empty.
     """
     salts = salts_for(rows.count())
-    rows = distributed_rank(rows.select("rid", "hub"), [], [F.col("rid")], [F.col("rid")], "n", salts)
-    rows = rows.withColumn("shard", (F.col("n") % shards).cast("int")).drop("n")
+    rows = rows.select("rid", "hub", _dealt("rid", shards).alias("shard"))
     # Written first, so that the join has two plain sides and Spark can split a hub's rows.
     sizes = materialize(rows.groupBy("hub").agg(F.count(F.lit(1)).alias("hub_rows")).where("hub is not null and hub_rows > 1"))
     rows = materialize(
@@ -136,7 +146,8 @@ def shard_documents(docs: DataFrame, shards: int = 24, rounds: int = 6) -> DataF
     Adds ``size`` (UTF-8 bytes of the text and 8 more; a null text has none),
     ``text_crc32`` (of the UTF-8 bytes; a null text counts as empty), ``law``
     (``rows``: the shards' counts differ by one at most), ``shard`` from 0,
-    ``slot`` (the row's number in its shard, from 0 without gaps) and
+    ``slot`` (the row's number in its shard, from 0 without gaps, in the order
+    of ``docs``: of files by name, or else of partitions) and
     ``grown_shard`` (null under this law). Null texts are linked to each other.
     Repeated rows are rows of their own. Columns of ``docs`` with these names,
     in any case, are replaced. Which of equally good rows moves is arbitrary
@@ -145,17 +156,23 @@ def shard_documents(docs: DataFrame, shards: int = 24, rounds: int = 6) -> DataF
     """
     made = {"size", "text_crc32", "law", "shard", "slot", "grown_shard"}
     docs = docs.drop(*[c for c in docs.columns if c.lower() in made])
-    rid = fresh(docs, "_rid")
+    rid, part, place, before = (fresh(docs, x) for x in ("_rid", "_part", "_place", "_before"))
     keyed = (
-        docs.withColumn(rid, F.monotonically_increasing_id())
+        read_order(docs, part, place)
         .withColumn("size", (F.coalesce(F.octet_length("text"), F.lit(0)) + 8).cast("long"))
         .withColumn("text_crc32", F.crc32(F.encode(F.coalesce("text", F.lit("")), "UTF-8")))
         .withColumn("_hub", F.xxhash64("text", F.lit(0)))
     )
     keyed = materialize(keyed)  # from here on the ids are fixed
+    # One row a file: the rows of the files before it.
+    earlier = Window.partitionBy(F.lit(0)).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    parts = keyed.groupBy(part).agg(F.count(F.lit(1)).alias("n")).withColumn(before, F.coalesce(F.sum("n").over(earlier), F.lit(0)))
+    parts = materialize(parts.select(F.col(part).alias(f"{part}_p"), before))
+    keyed = keyed.join(F.broadcast(parts), F.col(part) == F.col(f"{part}_p")).withColumn(rid, (F.col(before) + F.col(place)).cast("long"))
     placed = propagate(keyed.select(F.col(rid).alias("rid"), F.col("_hub").alias("hub")), shards, rounds)
-    salts = salts_for(-(-placed.count() // shards))
-    placed = distributed_rank(placed.select("rid", "shard"), ["shard"], [F.col("rid")], [F.col("rid")], "slot", salts)
+    n = placed.count()
+    ranges = F.floor(F.col("rid") * F.lit(salts_for(-(-n // shards))) / F.lit(max(1, n))).cast("int")
+    placed = distributed_rank(placed.select("rid", "shard"), ["shard"], [F.col("rid")], [], "slot", ranges=ranges)
     return (
         keyed.join(placed, F.col(rid) == F.col("rid"))
         .withColumn("law", F.lit("rows"))
