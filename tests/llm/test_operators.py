@@ -1,6 +1,7 @@
 """The ten operators against plain versions, and on odd tables."""
 
 import hashlib
+import inspect
 import math
 import re
 import zlib
@@ -247,6 +248,13 @@ def test_lm_scores_counts_and_held_out(docs, odd, empty):
     assert lm_scores(empty).count() == 0
 
 
+def test_lm_rounds_meet_every_token_once():
+    starts, size = np.array([0, 1, 8, 10]), 25
+    rounds = inspect.signature(lm_scores).parameters["rounds"].default
+    met = np.concatenate([lm_score.targets(starts, size, r, rounds) for r in range(rounds)])
+    assert sorted(met.tolist()) == list(range(size))
+
+
 def test_lm_probabilities_sum_to_one():
     model = lm_score.LogBilinear.start(np.array([0.5, 0.3, 0.2]), 4)
     t1, t2, log_z = model.tables()

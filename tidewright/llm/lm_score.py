@@ -216,8 +216,14 @@ def _numbered(texts: Iterable[bytes], places: dict[bytes, int], most: int) -> It
         yield close()
 
 
-def train(docs: DataFrame, vocab: Vocabulary, width: int = 32, rounds: int = 2, stride: int = 3, batch: int = 1024) -> LogBilinear:
-    """Train on every ``stride``-th token of all of ``docs``, ``rounds`` times.
+def targets(starts: np.ndarray, size: int, number: int, rounds: int) -> np.ndarray:
+    """The tokens whose places in their texts are ``number`` modulo ``rounds``: over all rounds, each once."""
+    lengths = np.diff(np.append(starts, size))
+    return np.flatnonzero((np.arange(size) - np.repeat(starts, lengths)) % rounds == number)
+
+
+def train(docs: DataFrame, vocab: Vocabulary, width: int = 32, rounds: int = 3, batch: int = 1024) -> LogBilinear:
+    """Train on all tokens of ``docs``, dealt over ``rounds`` by their places in their texts.
 
     In a round each task starts from the same parameters, trains on the tokens
     it reads and gives its parameters, in blocks; blocks are averaged by tasks,
@@ -242,7 +248,7 @@ def train(docs: DataFrame, vocab: Vocabulary, width: int = 32, rounds: int = 2,
             for numbers, starts, _ in _numbered(texts, places, 200_000):
                 numbers = np.where(numbers < 0, short, numbers)
                 u, v = contexts(numbers, starts, end)
-                at = np.arange(number % stride, len(numbers), stride)
+                at = targets(starts, len(numbers), number, rounds)
                 trainer.rng.shuffle(at)
                 for i in range(0, len(at), batch):
                     k = at[i : i + batch]
@@ -326,7 +332,7 @@ def _scores(sent, base_log: float):
     return run
 
 
-def lm_scores(docs: DataFrame, short: int = 1023, common: int = 200_000, width: int = 32, rounds: int = 2, stride: int = 3) -> DataFrame:
+def lm_scores(docs: DataFrame, short: int = 1023, common: int = 200_000, width: int = 32, rounds: int = 3) -> DataFrame:
     """Base and model log10 probabilities of every document.
 
     Returns ``doc_id, held_out, n_tokens, n_known, train_tokens, base_score,
@@ -342,7 +348,7 @@ def lm_scores(docs: DataFrame, short: int = 1023, common: int = 200_000, width:
     learn = docs.where(~held).select("text")
     counts = materialize(token_counts(learn))
     vocab = vocabulary(counts, short, common)
-    model = train(learn, vocab, width, rounds, stride)
+    model = train(learn, vocab, width, rounds)
     base_log = float(np.log10(vocab.total + vocab.distinct + 1.0))
     sent = spark.sparkContext.broadcast((vocab, model, hash(model.flat().tobytes())))
     scored = docs.select("doc_id", held.alias("held_out"), _scores(sent, base_log)("text").alias("s"))
