@@ -36,9 +36,14 @@ def is_primary(region: Column) -> Column:
     return F.lower(region).isin(*PRIMARY_REGIONS)
 
 
+def trimmed(c: Column) -> Column:
+    """White space of every kind off both ends; Spark's own trim takes spaces only."""
+    return F.regexp_replace(c, r"(?U)^\s+|\s+\z", "")
+
+
 def is_blank(c: Column) -> Column:
     """Null, empty or white space only."""
-    return F.coalesce(F.trim(F.regexp_replace(c, r"\s+", " ")) == "", F.lit(True))
+    return F.coalesce(trimmed(c) == "", F.lit(True))
 
 
 def first_non_blank(*columns: Column) -> Column:
@@ -149,21 +154,24 @@ def path_region(path: Column) -> Column:
 
 def cookies(headers: Column) -> Column:
     """The ``name=value`` pairs of an array of Set-Cookie headers, without attributes."""
-    pairs = F.transform(F.flatten(F.transform(headers, lambda h: F.split(h, ";"))), lambda x: F.trim(x))
-    named = F.filter(pairs, lambda x: x.contains("=") & ~F.trim(F.substring_index(x, "=", 1)).isin(""))
-    kept = F.filter(named, lambda x: ~F.lower(F.trim(F.substring_index(x, "=", 1))).isin(*COOKIE_ATTRIBUTES))
-    clean = F.transform(kept, lambda x: F.concat(F.trim(F.substring_index(x, "=", 1)), F.lit("="), F.trim(F.regexp_replace(x, "^[^=]*=", ""))))
-    return F.array_join(clean, "; ")
+    pairs = F.filter(F.flatten(F.transform(headers, lambda h: F.split(h, ";"))), lambda x: x.contains("="))
+    split = F.transform(pairs, lambda x: F.struct(trimmed(F.substring_index(x, "=", 1)).alias("name"), trimmed(F.regexp_replace(x, "^[^=]*=", "")).alias("value")))
+    kept = F.filter(split, lambda x: (x["name"] != "") & ~F.lower(x["name"]).isin(*COOKIE_ATTRIBUTES))
+    return F.array_join(F.transform(kept, lambda x: F.concat(x["name"], F.lit("="), x["value"])), "; ")
 
 
 def region_label(label: Column) -> Column:
     """A region for log lines: quotes and blanks off, in capitals."""
-    return F.upper(F.trim(F.btrim(F.trim(label), F.lit('"'))))
+    return F.upper(trimmed(F.btrim(trimmed(label), F.lit('"'))))
 
 
 def redact(user: Column) -> Column:
-    """All but the last four characters hidden; short texts wholly."""
-    return F.when(F.length(user) <= 4, F.lit("****")).otherwise(F.concat(F.lit("***"), F.right(user, F.lit(4))))
+    """All but the last four bytes hidden; texts of four characters or fewer wholly.
+
+    A character that the cut goes through becomes U+FFFD.
+    """
+    tail = F.make_valid_utf8(F.substring(F.encode(user, "UTF-8"), -4, 4).cast("string"))
+    return F.when(F.length(user) <= 4, F.lit("****")).otherwise(F.concat(F.lit("***"), tail))
 
 
 def duration_text(micros: Column) -> Column:

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-import re
+from concurrent.futures import ThreadPoolExecutor
 
-from pyspark.sql import Column, DataFrame
+from pyspark import inheritable_thread_target
+from pyspark.errors import PySparkException
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tidewright.functions.text import trimmed
 from tidewright.operators.restore import kind, members
 
 #: Tables that are never taken in.
@@ -22,46 +25,54 @@ def catalog_of(entries: list[dict]) -> dict[str, dict[str, str]]:
     return {e["name"]: dict((c.split(":", 1) if ":" in c else (c, "string")) for c in e["columns"]) for e in entries}
 
 
-def resolve_table(stem: str, catalog: dict) -> str | None:
-    """The catalog's table for a file's name: as is, with ``s`` or with ``es``; None if unknown or skipped.
+def plain_name(name: Column) -> Column:
+    return F.lower(F.replace(name, F.lit("_"), F.lit("")))
 
-    Case and underscores do not matter; a table also answers to its name
-    without a last ``s``.
+
+def resolve_tables(stems: DataFrame, tables: DataFrame) -> DataFrame:
+    """``stems`` (``stem``) with the ``table`` of each: its name as is, with ``s`` or with ``es``.
+
+    ``tables`` has ``table``, a row a name. Case and underscores do not matter; a
+    table also answers to its name without a last ``s``. Unknown and skipped names
+    have null. Of tables that answer to one name the first by name wins.
     """
-    plain = lambda n: n.lower().replace("_", "")
-    if stem in SKIPPED or plain(stem) in SKIPPED:
-        return None
-    names = {}
-    for t in catalog:
-        names.setdefault(plain(t), t)
-        names.setdefault(plain(t).removesuffix("s"), t)
-    return next((names[n] for n in (plain(stem), plain(stem) + "s", plain(stem) + "es") if n in names), None)
+    plain = plain_name(F.col("table"))
+    answers = tables.select("table", F.explode(F.array_distinct(F.array(plain, F.regexp_replace(plain, "s$", "")))).alias("_name"))
+    answers = answers.groupBy("_name").agg(F.min("table").alias("table"))
+    own = plain_name(F.col("stem"))
+    asked = stems.select("stem").distinct().where(~F.col("stem").isin(*SKIPPED) & ~own.isin(*SKIPPED))
+    asked = asked.select(F.col("stem").alias("_stem"), F.posexplode(F.array(own, F.concat(own, F.lit("s")), F.concat(own, F.lit("es")))).alias("_try", "_ask"))
+    found = asked.join(answers, F.col("_ask") == F.col("_name")).groupBy("_stem").agg(F.min_by("table", "_try").alias("table"))
+    return stems.join(found, F.col("stem") == F.col("_stem"), "left").drop("_stem")
 
 
 def plain_key(key: Column) -> Column:
-    """A record's key as it is compared: no leading underscores, no others, small letters; ``id`` is ``gameid``."""
-    k = F.lower(F.replace(F.regexp_replace(key, "^_+", ""), F.lit("_"), F.lit("")))
+    """A record's key as it is compared: without underscores, in small letters; ``id`` is ``gameid``."""
+    k = F.lower(F.translate(key, "_", ""))
     return F.when(k == "id", F.lit("gameid")).otherwise(k)
 
 
 def plain_column(column: str) -> str:
-    return re.sub("_", "", column.lower())
+    return column.lower().replace("_", "")
 
 
 def coerce(value: Column, sort: str) -> Column:
     """A variant as a catalog type; null where it does not fit.
 
     Whole numbers must be written so (1.0 is none) and fit 64 bits, or be a
-    text of one; floats are any number or a text of one; booleans are not
-    numbers. A string takes every value, structured ones as JSON.
+    text of one; floats are any number or a text of one, ``inf`` and ``nan`` too;
+    booleans are not numbers. Texts may have white space of any kind around them.
+    A string takes every value, structured ones as JSON.
     """
     k = kind(value)
-    text = F.when(k == "STRING", F.trim(F.try_variant_get(value, "$", "string")))
+    text = trimmed(F.when(k == "STRING", F.try_variant_get(value, "$", "string")))
     if sort in ("int64", "int32", "int"):
         whole = F.when(text.rlike(r"^[+-]?[0-9]+$"), text.try_cast("bigint"))
         return F.when(k == "BIGINT", F.try_variant_get(value, "$", "bigint")).otherwise(whole)
     if sort in ("float64", "float32", "float"):
         number = F.when(text.rlike(r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"), text.try_cast("double"))
+        number = number.when(text.rlike("(?i)^[+]?inf(inity)?$"), F.lit(float("inf"))).when(text.rlike("(?i)^-inf(inity)?$"), F.lit(float("-inf")))
+        number = number.when(text.rlike("(?i)^[+-]?nan$"), F.lit(float("nan")))
         return F.when(k.isin("BIGINT", "DECIMAL", "DOUBLE", "FLOAT"), F.try_variant_get(value, "$", "double")).otherwise(number)
     if sort == "bool":
         word = F.when(text == "true", True).when(text == "false", False)
@@ -84,7 +95,7 @@ def with_plain_keys(records: DataFrame) -> DataFrame:
     return found.withColumn("_by_key", F.map_from_entries(F.when(plain, all_).otherwise(last))).drop("_entries")
 
 
-def typed_rows(records: DataFrame, columns: dict[str, str], region: str, keep: tuple[str, ...] = (), special: dict[str, Column] | None = None) -> DataFrame:
+def typed_rows(records: DataFrame, columns: dict[str, str], region: str | Column, keep: tuple[str, ...] = (), special: dict[str, Column] | None = None) -> DataFrame:
     """One projection from ``record`` to the catalog's columns and ``server_region``.
 
     Keys without a column are dropped, columns without a key are typed nulls.
@@ -98,7 +109,7 @@ def typed_rows(records: DataFrame, columns: dict[str, str], region: str, keep: t
         if value is None:
             value = coerce(F.try_element_at("_by_key", F.lit(plain_column(name))), sort)
         made.append(value.cast(_TYPES.get(sort, "variant")).alias(name))
-    return found.select(*keep, *made, F.lit(region).alias("server_region"))
+    return found.select(*keep, *made, (F.lit(region) if isinstance(region, str) else region).alias("server_region"))
 
 
 def archive_name(column: str = "assetbundle_name") -> Column:
@@ -108,25 +119,31 @@ def archive_name(column: str = "assetbundle_name") -> Column:
     """
     of = lambda c: F.try_element_at("_by_key", F.lit(plain_column(c)))
     archive = coerce(F.when(kind(of("archive_display_type")) == "STRING", of("archive_display_type")), "string")
-    return F.when(F.trim(archive).rlike("^res[0-9]+_no[0-9]+$"), archive).otherwise(coerce(of(column), "string"))
+    return F.when(trimmed(archive).rlike("^res[0-9]+_no[0-9]+$"), archive).otherwise(coerce(of(column), "string"))
 
 
 def united_columns(records: DataFrame) -> DataFrame:
-    """``stem, column``: all keys that any record of a file has, found by partial aggregation."""
-    keys = records.select("stem", F.explode(F.map_keys(members(F.col("record")))).alias("column"))
-    return keys.distinct()
+    """``stem, column, place``: all keys that any record of a file has, in the order they are first met.
+
+    ``records`` has ``stem, pos, record``. Keys that one record brings are in the order
+    of their names. Found by partial aggregation; a file has few columns.
+    """
+    keys = records.select("stem", "pos", F.explode(F.map_keys(members(F.col("record")))).alias("column"))
+    first = keys.groupBy("stem", "column").agg(F.min("pos").alias("_pos"))
+    place = F.row_number().over(Window.partitionBy("stem").orderBy("_pos", "column")) - 1
+    return first.select("stem", "column", place.alias("place"))
 
 
-def replace_regions(rows: DataFrame, path: str) -> bool:
-    """Replace the table's partitions of the regions in ``rows``; others stay.
+def replace_regions(rows: DataFrame, path: str) -> int:
+    """Replace the table's partitions of the regions in ``rows``; others stay. The number of rows is returned.
 
-    Without rows nothing is replaced. Whether anything was written is returned.
-    Spark stages the files and puts partitions in place when all tasks are done.
+    Without rows nothing is replaced. Spark stages the files and puts partitions in
+    place when all tasks are done; the rows are counted as they are written.
     """
-    if rows.isEmpty():
-        return False
-    rows.write.partitionBy("server_region").mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(path)
-    return True
+    seen = Observation()
+    counted = rows.observe(seen, F.count(F.lit(1)).alias("n"))
+    counted.write.partitionBy("server_region").mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(path)
+    return int(seen.get["n"])
 
 
 def repeated_keys(rows: DataFrame, keys: list[str]) -> DataFrame:
@@ -134,25 +151,60 @@ def repeated_keys(rows: DataFrame, keys: list[str]) -> DataFrame:
     return rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
 
 
-def ingest_folder(spark, folder: str, region: str, catalog: dict[str, dict[str, str]], target: str) -> list[tuple[str, str]]:
-    """Take in every table file of a folder; returns ``(stem, outcome)`` of each.
+class IngestError(Exception):
+    """Files of a run that failed; all others are taken in. ``outcomes`` has every file's."""
+
+    def __init__(self, outcomes: list[tuple[str, str, str]]):
+        failed = [f"{region}/{stem}" for region, stem, outcome in outcomes if outcome == "failed"]
+        super().__init__(f"ingest failed for {len(failed)} file(s): {', '.join(failed)}")
+        self.outcomes = outcomes
+
+
+def ingest_regions(spark: SparkSession, folders: dict[str, str | None], catalog: dict[str, dict[str, str]], target: str, at_once: int = 8) -> list[tuple[str, str, str]]:
+    """Take in the table files of all regions; ``(region, stem, outcome)`` of each, or IngestError at the end.
 
-    A file's failure leaves the others alone; the caller raises once at the end
-    if any has failed. File names are few and handled on the driver; their rows
-    are not.
+    ``folders`` gives a region's folder; regions without one (null or empty), and
+    missing folders, are skipped. Outcomes are ``written``, ``empty`` (no objects:
+    what the table has stays), ``unknown`` (no such table, or a second file of one)
+    and ``failed`` (no JSON array). A file's failure leaves all others alone. The
+    driver sees file names only. A table is one job that reads each of its files once
+    and writes all regions, ``at_once`` tables side by side.
     """
-    from tidewright.sources.files import file_status, json_files, records_of
-
-    files = json_files(spark, folder)
-    outcomes = []
-    for r in sorted(file_status(files).collect(), key=lambda r: r.stem):
-        name = resolve_table(r.stem, catalog)
-        if name is None:
-            outcomes.append((r.stem, "unknown"))
-        elif not r.ok:
-            outcomes.append((r.stem, "failed"))
-        else:
-            special = {"assetbundle_name": archive_name()} if name == "cards" else None
-            rows = typed_rows(records_of(files.where(F.col("stem") == r.stem)), catalog[name], region, special=special)
-            outcomes.append((r.stem, "written" if replace_regions(rows, f"{target.rstrip('/')}/{name}") else "empty"))
-    return outcomes
+    from tidewright.sources.files import file_stems, is_array, json_table, records_of
+
+    tables = spark.createDataFrame([(t,) for t in catalog], "table string")
+    outcomes: dict[tuple[str, str], str] = {}
+    work: dict[str, dict[str, str]] = {}
+    for region, folder in folders.items():
+        if folder:
+            for r in sorted(resolve_tables(file_stems(spark, folder), tables).collect(), key=lambda r: r.stem):
+                outcomes[region, r.stem] = "unknown"
+                if r.table is not None:
+                    work.setdefault(r.table, {}).setdefault(region, r.stem)
+
+    def one(name: str) -> None:
+        files, seen, special = work[name], Observation(), {"assetbundle_name": archive_name()} if name == "cards" else None
+        read = [json_table(spark, folders[region], stem).withColumn("_region", F.lit(region)) for region, stem in files.items()]
+        whole = read[0]
+        for more in read[1:]:
+            whole = whole.unionByName(more)
+        mine = {region: F.col("_region") == region for region in files}
+        ok = is_array(F.col("value"))
+        whole = whole.observe(seen, *[F.count_if(test & ok).alias(f"ok_{region}") for region, test in mine.items()])
+        rows = typed_rows(records_of(whole, "_region"), catalog[name], F.col("_region"), special=special)
+        wrote = Observation()
+        rows = rows.observe(wrote, *[F.count_if(F.col("server_region") == region).alias(f"n_{region}") for region in files])
+        try:
+            replace_regions(rows, f"{target.rstrip('/')}/{name}")
+        except PySparkException:
+            outcomes.update({(region, stem): "failed" for region, stem in files.items()})
+            return
+        for region, stem in files.items():
+            outcomes[region, stem] = "written" if wrote.get[f"n_{region}"] else "empty" if seen.get[f"ok_{region}"] else "failed"
+
+    with ThreadPoolExecutor(at_once) as pool:
+        list(pool.map(inheritable_thread_target(spark)(one), sorted(work)))
+    done = [(region, stem, outcome) for (region, stem), outcome in outcomes.items()]
+    if any(outcome == "failed" for _, _, outcome in done):
+        raise IngestError(done)
+    return done

@@ -20,7 +20,7 @@ Restore = Callable[[Column], Column]
 
 def kind(value: Column) -> Column:
     """``ARRAY``, ``OBJECT``, ``VOID``, ``BIGINT``, ... of a variant; null for none."""
-    return F.regexp_extract(F.schema_of_variant(value), r"^[A-Z]+", 0)
+    return F.substring_index(F.substring_index(F.schema_of_variant(value), "<", 1), "(", 1)
 
 
 def elements(value: Column) -> Column:
@@ -134,19 +134,29 @@ class Registry:
         return run
 
 
-def restore_tables(tables: DataFrame, registry: Registry, schemas: dict[str, str]) -> DataFrame:
-    """Restore ``value`` of each row by the record its ``table_key`` is mapped to.
+def table_records(tables: DataFrame) -> DataFrame:
+    """``table_key, pos, record``: an array's elements are rows of their own; another value is one, without ``pos``.
 
-    An array is restored element by element, another value itself; keys without
-    a schema stay as they are. The mapping is small and compiled in.
+    ``tables`` has ``table_key, value``. From here on a row is a record, so no table
+    has to fit one value or one task.
     """
     value = F.col("value")
-    out = value
-    for key, record in schemas.items():
-        one = registry.compile(record)
-        done = F.when(kind(value) == "ARRAY", F.to_variant_object(F.transform(elements(value), one))).otherwise(one(value))
-        out = F.when(F.col("table_key") == key, done).otherwise(out)
-    return tables.withColumn("value", out)
+    whole = F.when(kind(value) == "ARRAY", elements(value))
+    rows = tables.withColumn("_all", whole).select("table_key", "value", "_all")
+    many = rows.where("_all is not null").select("table_key", F.posexplode("_all").alias("pos", "record"))
+    one = rows.where("_all is null").select("table_key", F.lit(None).cast("int").alias("pos"), F.col("value").alias("record"))
+    return many.unionByName(one)
+
+
+def restore_records(records: DataFrame, registry: Registry, schemas: dict[str, str]) -> DataFrame:
+    """Restore each ``record`` by the schema its ``table_key`` is mapped to.
+
+    Keys without a schema stay as they are. The mapping is small and compiled in.
+    """
+    out = F.col("record")
+    for key, schema in schemas.items():
+        out = F.when(F.col("table_key") == key, registry.compile(schema)(F.col("record"))).otherwise(out)
+    return records.withColumn("record", out)
 
 
 def columnar_rows(value: Column) -> Column:
@@ -156,53 +166,58 @@ def columnar_rows(value: Column) -> Column:
     are no arrays are left out. ``__ENUM__`` has dictionaries: a whole number
     from 0 on is looked up (null outside), other values stay.
     """
-    columns = F.map_filter(members(value), lambda k, v: (k != "__ENUM__") & (kind(v) == "ARRAY"))
-    arrays = F.transform_values(columns, lambda _, v: elements(v))
+    columns = F.map_filter(members(value), lambda k, v: k != "__ENUM__")
+    arrays = F.map_filter(F.transform_values(columns, lambda _, v: elements(v)), lambda _, a: a.isNotNull())
     words = F.coalesce(members(F.try_variant_get(value, "$.__ENUM__", "variant")), F.create_map().cast("map<string,variant>"))
-    n = F.coalesce(F.array_min(F.transform(F.map_values(arrays), lambda a: F.size(a))), F.lit(0))
-
-    def cell(k: Column, a: Column, i: Column) -> Column:
-        v = F.get(a, i)
-        book = elements(F.try_element_at(words, k))
-        code = F.try_variant_get(v, "$", "bigint")
-        return F.when(book.isNotNull() & (kind(v) == "BIGINT") & (code >= 0), F.get(book, code.cast("int"))).otherwise(
-            F.when(_present(v), v)
+    books = F.transform_values(words, lambda _, v: elements(v))
+
+    def cell(v: Column, book: Column) -> Column:
+        code = F.when(kind(v) == "BIGINT", F.try_variant_get(v, "$", "bigint"))
+        return F.when(book.isNotNull() & (code >= 0), F.get(book, code.cast("int"))).otherwise(F.when(_present(v), v))
+
+    def rows(t: Column) -> Column:
+        n = F.coalesce(F.array_min(F.transform(F.map_values(t["arrays"]), lambda a: F.size(a))), F.lit(0))
+        # The dictionary of a column is looked up once for all of its cells.
+        read = F.transform_values(
+            t["arrays"],
+            lambda k, a: F.flatten(F.transform(F.array(F.try_element_at(t["books"], k)), lambda book: F.transform(F.slice(a, 1, n), lambda v: cell(v, book)))),
         )
+        made = F.transform(F.array(read), lambda m: F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.transform_values(m, lambda _, a: F.get(a, i))))
+        return F.when(n > 0, F.get(made, F.lit(0))).otherwise(F.array().cast("array<map<string,variant>>"))
 
-    rows = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.transform_values(arrays, lambda k, a: cell(k, a, i)))
-    return F.when(n > 0, rows).otherwise(F.array().cast("array<map<string,variant>>"))
+    # A lambda's argument is worked out once, unlike what it refers to outside.
+    table = F.array(F.struct(arrays.alias("arrays"), books.alias("books")))
+    return F.get(F.transform(table, rows), F.lit(0))
 
 
-def expand_columnar(tables: DataFrame, prefix: str = "compact") -> DataFrame:
-    """Add the row tables of columnar ones: ``compactXyz`` gives ``xyz``.
+def expand_columnar(records: DataFrame, prefix: str = "compact") -> DataFrame:
+    """Add the row tables of columnar ones: ``compactXyz`` gives ``xyz``, a row a record.
 
-    A row table made so replaces one of its name; the columnar one stays.
+    ``records`` are :func:`table_records`. A row table made so replaces one of its
+    name; the columnar one stays.
     """
-    columnar = tables.where(F.col("table_key").rlike(f"^{prefix}[A-Z]") & (kind(F.col("value")) == "OBJECT"))
+    columnar = records.where(F.col("table_key").rlike(f"^{prefix}[A-Z]") & (kind(F.col("record")) == "OBJECT"))
     rest = F.substring(F.col("table_key"), len(prefix) + 1, 1_000)
-    made = columnar.withColumn("value", F.to_variant_object(columnar_rows(F.col("value")))).withColumn(
-        "table_key", F.concat(F.lower(F.substring(rest, 1, 1)), F.substring(rest, 2, 1_000))
-    )
-    replaced = made.select(F.col("table_key").alias("_made")).distinct()
-    return tables.join(replaced, F.col("table_key") == F.col("_made"), "left_anti").unionByName(made)
+    named = columnar.withColumn("table_key", F.concat(F.lower(F.substring(rest, 1, 1)), F.substring(rest, 2, 1_000)))
+    made = named.select("table_key", F.posexplode(columnar_rows(F.col("record"))).alias("pos", "row"))
+    made = made.select("table_key", "pos", F.to_variant_object("row").alias("record"))
+    replaced = named.select(F.col("table_key").alias("_made")).distinct()
+    return records.join(replaced, F.col("table_key") == F.col("_made"), "left_anti").unionByName(made)
 
 
-def path_matches(path: Column, template: Column) -> Column:
-    """Whether a path fits a template; ``{x}`` stands for any one segment, the query is ignored."""
-    parts = lambda c: F.filter(F.split(F.substring_index(c, "?", 1), "/"), lambda x: x != "")
-    a, b = parts(path), parts(template)
-    fits = F.forall(F.zip_with(a, b, lambda x, y: (x == y) | y.rlike(r"^\{.*\}$")), lambda x: x)
-    return (F.size(a) == F.size(b)) & fits
+def best_template(path: Column, templates: list[str]) -> Column:
+    """The longest of the ``templates`` that a path fits (the last by name of equally long ones); null if none.
 
-
-def best_template(requests: DataFrame, templates: DataFrame) -> DataFrame:
-    """``requests`` with the longest ``template`` that fits its ``path`` (null if none).
-
-    Templates are a small table of one row a route; they are broadcast.
+    ``{x}`` stands for any one segment; the query and empty segments are ignored. Routes
+    are known when the plan is made, so they are one CASE and nothing is joined.
     """
-    matched = requests.select("path").distinct().join(F.broadcast(templates.select("template")), path_matches(F.col("path"), F.col("template")))
-    best = matched.groupBy(F.col("path").alias("_p")).agg(F.max_by("template", F.struct(F.length("template"), "template")).alias("template"))
-    return requests.join(best, F.col("path") == F.col("_p"), "left").drop("_p")
+    plain = F.substring_index(path, "?", 1)
+    best = F.lit(None).cast("string")
+    for t in sorted(set(templates), key=lambda t: (len(t), t)):  # the last to fit wins
+        parts = [p for p in t.split("?")[0].split("/") if p]
+        form = "".join("/+" + ("[^/]+" if re.fullmatch(r"\{.*\}", p) else "\\Q" + p + "\\E") for p in parts)
+        best = F.when(F.concat(F.lit("/"), plain).rlike(f"^{form}/*$"), F.lit(t)).otherwise(best)
+    return best
 
 
 def apply_at(value: Column, selector: str, restore: Restore) -> Column:
@@ -221,19 +236,21 @@ def apply_at(value: Column, selector: str, restore: Restore) -> Column:
     return step(value, [p for p in selector.split(".") if p])
 
 
-def restore_responses(responses: DataFrame, registry: Registry, routes: list[dict], secondary: Column) -> DataFrame:
-    """Restore ``value`` of responses by the longest route that fits ``path``.
+def restore_responses(responses: DataFrame, registry: Registry, routes: list[dict], secondary: Column, method: str | None = None) -> DataFrame:
+    """Restore ``value`` of responses by the longest route that fits ``path``, and add its ``template``.
 
-    A route has ``path`` and optionally ``schema`` for the whole body and
-    ``fields`` (``selector``, ``schema``). Rows where ``secondary`` is false pass.
+    A route has ``path`` and optionally ``schema`` for the whole body, which comes
+    first, and ``fields`` (``selector``, ``schema``). Rows where ``secondary`` is
+    false pass, as do answers to POST where ``method`` names the column of methods.
     """
-    spark = responses.sparkSession
-    found = best_template(responses, spark.createDataFrame([(r["path"],) for r in routes], "template string"))
+    found = responses.withColumn("template", best_template(F.col("path"), [r["path"] for r in routes]))
+    use = F.coalesce(secondary, F.lit(False))
+    if method:
+        use = use & ~F.coalesce(F.upper(F.col(method)) == "POST", F.lit(False))
     out = F.col("value")
     for r in routes:
         done = registry.compile(r["schema"])(F.col("value")) if r.get("schema") else F.col("value")
         for f in r.get("fields", ()):
             done = apply_at(done, f["selector"], registry.compile(f["schema"]))
-        out = F.when(secondary & (F.col("template") == r["path"]), done).otherwise(out)
+        out = F.when(use & (F.col("template") == r["path"]), done).otherwise(out)
     return found.withColumn("value", out)
-

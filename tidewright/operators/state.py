@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from tidewright.functions.predicates import is_target_fault
 from tidewright.functions.text import effective_version, first_non_blank, is_primary
+from tidewright.operators.ranges import carried, earlier, later, ranged, upto
+from tidewright.sources.shared import materialize
 
 _VERSION = ("appVersion", "appHash", "dataVersion", "assetVersion", "assetHash", "cdnVersion")
 
@@ -55,30 +57,69 @@ def app_hash_changes(current: DataFrame, answers: DataFrame) -> DataFrame:
     ).select("region", "appVersion", "appHash", ((F.col("appVersion") != F.col("v")) | (F.col("appHash") != F.col("h"))).alias("changed"))
 
 
-def authorize(requests: DataFrame, users: DataFrame, grants: DataFrame, open_mode: bool = False) -> DataFrame:
-    """Add ``status``: 200, 401 (no such user or another credential) or 403 (no grant)."""
+def preferred_versions(bundled: DataFrame, polled: DataFrame) -> DataFrame:
+    """The version row of each ``region``: the bundle's, as a whole, where there is one, else the polled one."""
+    b = bundled.select("region", F.struct(*_VERSION).alias("b"))
+    p = polled.select(F.col("region").alias("_r"), F.struct(*_VERSION).alias("p"))
+    both = b.join(p, F.col("region") == F.col("_r"), "full")
+    return both.select(F.coalesce("region", "_r").alias("region"), F.coalesce("b", "p").alias("v")).select("region", "v.*")
+
+
+def regions_to_ingest(versions: DataFrame, last_runs: DataFrame) -> DataFrame:
+    """``region, due, retry``: due by a new version, or because the last ingest failed (``retry``).
+
+    ``versions`` has ``region, is_new``; ``last_runs`` has ``region, failed`` (no row: none failed).
+    """
+    runs = last_runs.groupBy(F.col("region").alias("_r")).agg(F.max("failed").alias("failed"))
+    both = versions.join(runs, F.col("region") == F.col("_r"), "left")
+    failed = F.coalesce("failed", F.lit(False))
+    return both.select("region", (F.col("is_new") | failed).alias("due"), (~F.col("is_new") & failed).alias("retry"))
+
+
+def authorize(
+    requests: DataFrame, users: DataFrame, grants: DataFrame, open_mode: bool = False, user_fault: Column | None = None, grant_fault: Column | None = None
+) -> DataFrame:
+    """Add ``status``: 200, 401 (no such user or another credential), 403 (no grant) or 500.
+
+    ``user_fault`` and ``grant_fault`` say of a request that the look-up failed; a
+    grant is only looked up for a known user. A user id has one credential, the
+    smallest if ``users`` repeats it; requests stay as many as they are.
+    """
     if open_mode:
         return requests.withColumn("status", F.lit(200))
-    u = users.select(F.col("id").alias("_u"), F.col("credential").alias("_c"))
+    u = users.groupBy(F.col("id").alias("_u")).agg(F.min("credential").alias("_c"))
     g = grants.select(F.col("user_id").alias("_g"), F.col("server").alias("_s")).distinct()
     joined = requests.join(u, F.col("user_id") == F.col("_u"), "left").join(
         g, (F.col("user_id") == F.col("_g")) & (F.col("server") == F.col("_s")), "left"
     )
-    status = F.when(F.col("_u").isNull() | ~F.col("credential").eqNullSafe(F.col("_c")), 401).when(F.col("_g").isNull(), 403).otherwise(200)
+    fails = lambda c: F.lit(False) if c is None else F.coalesce(c, F.lit(False))
+    status = (
+        F.when(fails(user_fault), 500)
+        .when(F.col("_u").isNull() | ~F.col("credential").eqNullSafe(F.col("_c")), 401)
+        .when(fails(grant_fault), 500)
+        .when(F.col("_g").isNull(), 403)
+        .otherwise(200)
+    )
     return joined.withColumn("status", status).drop("_u", "_c", "_g", "_s")
 
 
 def summarize(rows: DataFrame, key: str, value: str, parts: tuple[int, ...] = (50, 95)) -> DataFrame:
     """``n, min, p50, mean, p95, max`` by key; percentiles are values, by the nearest rank.
 
-    The rank is ``p / 100 * (n - 1)``, halves up. Ranks come from a window over
-    pre-aggregated values, so equal values are one row and no list is built.
-    Nulls are left out; a key without values has zeros.
+    The rank is ``p / 100 * (n - 1)``, halves up. Equal values are one row with a
+    count; those are cut into ranges of values, so a key's ranks come from many
+    tasks and no list is built. Nulls are left out; a key without values has zeros.
     """
     plain = rows.select(F.col(key).alias("_key"), F.col(value).cast("double").alias("_v"))
-    counted = plain.groupBy("_key", "_v").agg(F.count("_v").alias("_k"))  # nulls: one row that counts nothing
-    upto = Window.partitionBy("_key").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
-    ranked = counted.withColumn("_upto", F.sum("_k").over(upto)).withColumn("_n", F.sum("_k").over(Window.partitionBy("_key")))
+    counted = materialize(plain.groupBy("_key", "_v").agg(F.count("_v").alias("_k")))  # nulls: one row that counts nothing
+    cut = ranged(counted, ["_v"])
+
+    def carry(known: DataFrame) -> DataFrame:
+        before = F.coalesce(F.sum("_c").over(earlier(["_key"])), F.lit(0))
+        return known.withColumn("_before", before).withColumn("_n", F.sum("_c").over(Window.partitionBy("_key")))
+
+    known = carried(cut, ["_key"], {"_c": F.sum("_k")}, carry, ["_before", "_n"])
+    ranked = known.withColumn("_upto", F.col("_before") + F.sum("_k").over(upto(["_key"], ["_v"])))
     at = lambda p: F.min(F.when(F.col("_upto") > F.floor(F.lit(p) / 100 * (F.col("_n") - 1) + 0.5), F.col("_v")))
     found = ranked.groupBy("_key").agg(
         F.max("_n").alias("n"),
@@ -91,6 +132,16 @@ def summarize(rows: DataFrame, key: str, value: str, parts: tuple[int, ...] = (5
     return found.select(F.col("_key").alias(key), F.coalesce("n", F.lit(0)).cast("bigint").alias("n"), *measures)
 
 
+def composed(rows: DataFrame, totals: dict[str, list[str]]) -> DataFrame:
+    """Add for each total, such as an old and a new way of doing the same, the sum of its stages."""
+    for name, stages in totals.items():
+        total = F.lit(0.0)
+        for s in stages:
+            total = total + F.coalesce(F.col(s).cast("double"), F.lit(0.0))
+        rows = rows.withColumn(name, total)
+    return rows
+
+
 def after_warm_up(rows: DataFrame, key: str, order: str, first: int) -> DataFrame:
     """``rows`` without the ``first`` ones of each key by ``order`` (unique in a key).
 
@@ -134,31 +185,58 @@ def round_robin(slots: DataFrame) -> DataFrame:
 
 
 def first_wins(rows: DataFrame, key: str, value: str, order: str) -> DataFrame:
+    """``key, value``: of each key the value that comes first in ``order``."""
     return rows.groupBy(key).agg(F.min_by(value, order).alias(value))
 
 
+def member_order(number: Column, text: Column, name: Column) -> Column:
+    """What generated fields are sorted by: whole-number keys first, then text keys, or else names, by bytes."""
+    return F.struct(F.coalesce(number.cast("int"), F.lit(2147483647)).alias("number"), F.coalesce(text, name).alias("text"))
+
+
 def breaker_states(calls: DataFrame, threshold: int = 3, cool_ms: int = 30_000) -> DataFrame:
     """Add ``failures`` (in a row, with this one) and ``open_until`` (ms; 0: closed) after each call.
 
-    ``calls`` has ``target, ts_ms, seq, failed``. Successes cut a target's calls
-    into islands; inside one, failures are counted by a window.
+    ``calls`` has ``target, ts_ms, seq, failed``. Inside a range of time, successes
+    cut a target's calls into islands and failures are counted in them; those
+    before a range's first success go on from the ranges before.
     """
-    order = Window.partitionBy("target").orderBy("ts_ms", "seq")
-    island = F.sum(F.when(F.col("failed"), 0).otherwise(1)).over(order.rowsBetween(Window.unboundedPreceding, 0))
-    counted = calls.withColumn("_i", island)
-    inside = Window.partitionBy("target", "_i").orderBy("ts_ms", "seq").rowsBetween(Window.unboundedPreceding, 0)
-    failures = F.sum(F.col("failed").cast("int")).over(inside)
-    counted = counted.withColumn("failures", F.when(F.col("failed"), failures).otherwise(0))
+    by, order = ["target"], ["ts_ms", "seq"]
+    cut = ranged(calls, order)
+    marked = cut.withColumn("_i", F.sum(F.when(F.col("failed"), 0).otherwise(1)).over(upto(by, order)))
+    marked = marked.withColumn("_run", F.sum(F.col("failed").cast("int")).over(upto([*by, "_i"], order)))
+
+    def carry(known: DataFrame) -> DataFrame:
+        sums = known.withColumn("_sum", F.coalesce(F.sum("_tail").over(earlier(by)), F.lit(0)))
+        since = F.coalesce(F.last(F.when(F.col("_ok"), F.col("_sum")), ignorenulls=True).over(earlier(by)), F.lit(0))
+        return sums.withColumn("_carry", F.col("_sum") - since)
+
+    facts = {"_ok": F.max(~F.col("failed")), "_tail": F.max_by("_run", F.struct(*order))}
+    known = carried(marked, by, facts, carry, ["_carry"])
+    failures = F.col("_run") + F.when(F.col("_i") == 0, F.col("_carry")).otherwise(0)
+    known = known.withColumn("failures", F.when(F.col("failed"), failures).otherwise(0))
     open_until = F.when(F.col("failures") >= threshold, F.col("ts_ms") + cool_ms).otherwise(0)
-    return counted.withColumn("open_until", open_until.cast("bigint")).drop("_i")
+    return known.withColumn("open_until", open_until.cast("bigint")).drop("_i", "_run", "_carry", "_range")
 
 
 def debounced(events: DataFrame, key: str, ts: str, gap: str) -> DataFrame:
-    """One row for each run of events less than ``gap`` apart: ``key, first, last, n``."""
+    """One row for each run of events less than ``gap`` apart: ``key, first, last, n``.
+
+    A run starts where the event before, in the range or the key's last one before
+    it, is ``gap`` or more away; runs are numbered over ranges by their counts.
+    """
+    by = [key]
+    cut = ranged(events.select(key, ts).where(F.col(ts).isNotNull()), [ts])
+    known = carried(cut, by, {"_max": F.max(ts)}, lambda k: k.withColumn("_prev", F.max("_max").over(earlier(by))), ["_prev"])
+    before = F.coalesce(F.lag(ts).over(Window.partitionBy(key, "_range").orderBy(ts)), F.col("_prev"))
+    starts = F.when(F.col(ts) < before + F.expr(f"INTERVAL '{gap}'"), 0).otherwise(1)
+    marked = known.withColumn("_start", starts).withColumn("_run", F.sum("_start").over(upto(by, [ts])))
+    so_far = lambda k: k.withColumn("_before", F.coalesce(F.sum("_starts").over(earlier(by)), F.lit(0)))
+    numbered = carried(marked, by, {"_starts": F.sum("_start")}, so_far, ["_before"])
     return (
-        events.groupBy(key, F.session_window(ts, gap).alias("w"))
+        numbered.groupBy(key, (F.col("_run") + F.col("_before")).alias("_run"))
         .agg(F.min(ts).alias("first"), F.max(ts).alias("last"), F.count(F.lit(1)).alias("n"))
-        .drop("w")
+        .drop("_run")
     )
 
 
@@ -168,46 +246,61 @@ def single_flight(calls: DataFrame) -> DataFrame:
     ``calls`` has ``key, call, start, took``. A call that starts while its key's
     leader is under way follows it; the first after it ended leads.
     """
-    return _fold(calls, "key", "start", "call", F.lit(True), lambda s, c: s["until"] > c["start"])
+    return _led(calls, F.lit(True))
 
 
-def cached(calls: DataFrame, ttl_col: str = "ttl") -> DataFrame:
+def cached(calls: DataFrame) -> DataFrame:
     """Add ``leader`` and ``hit``: calls in the time-to-live of a stored result have it.
 
     ``calls`` has ``key, call, start, took`` (the time a result lives) and
     ``ok``; only good results are stored.
     """
-    out = _fold(calls, "key", "start", "call", F.col("ok"), lambda s, c: s["until"] > c["start"])
-    return out.withColumn("hit", F.col("leader") != F.col("call"))
+    return _led(calls, F.col("ok")).withColumn("hit", F.col("leader") != F.col("call"))
 
 
-def _fold(calls: DataFrame, key: str, start: str, call: str, stored: Column, live) -> DataFrame:
-    """A fold over each key's calls in order; the state is the last leader and its end.
+def _led(calls: DataFrame, stored: Column) -> DataFrame:
+    """Add each call's ``leader``.
 
-    The first call after a quiet spell always leads, so a key's calls are first
-    cut where nothing before can still be live (a running maximum of ends);
-    each such stretch is folded alone, and a hot key is many stretches.
+    If a call leads, it is known which one leads next: the first that starts at or
+    after its end, or its successor if nothing was stored. So leaders are a chain
+    from a key's first call. The next ones are found inside ranges of time, and the
+    chain by pointer doubling: each round doubles the calls known to lead and the
+    length of a hop. No list of a key's calls is built.
     """
-    ends = Window.partitionBy(key).orderBy(start, call).rowsBetween(Window.unboundedPreceding, -1)
-    cut = F.when(F.coalesce(F.max(F.col(start) + F.col("took")).over(ends) > F.col(start), F.lit(False)), 0).otherwise(1)
-    upto = Window.partitionBy(key).orderBy(start, call).rowsBetween(Window.unboundedPreceding, 0)
-    marked = calls.withColumn("_cut", cut).withColumn("_stretch", F.sum("_cut").over(upto)).withColumn("_stored", stored)
-    row = F.struct(F.col(start).alias("start"), F.col(call).alias("call"), F.col("took").alias("took"), F.col("_stored").alias("stored"))
-    lists = marked.groupBy(key, "_stretch").agg(F.sort_array(F.collect_list(row)).alias("rows"))
-
-    def step(s, c):
-        fits = live(s, c) & s["leader"].isNotNull()
-        leader = F.when(fits, s["leader"]).otherwise(c["call"])
-        return F.struct(
-            F.when(fits, s["leader"]).otherwise(F.when(c["stored"], c["call"])).alias("leader"),
-            F.when(fits, s["until"]).otherwise(c["start"] + c["took"]).alias("until"),
-            F.concat(s["out"], F.array(F.struct(c["call"].alias("call"), leader.alias("leader")))).alias("out"),
-        )
-
-    empty = F.struct(
-        F.lit(None).cast(calls.schema[call].dataType).alias("leader"),
-        F.lit(None).cast((calls.select((F.col(start) + F.col("took")).alias("x"))).schema["x"].dataType).alias("until"),
-        F.array().cast(f"array<struct<call:{calls.schema[call].dataType.simpleString()},leader:{calls.schema[call].dataType.simpleString()}>>").alias("out"),
-    )
-    led = lists.select(F.explode(F.aggregate("rows", empty, step)["out"]).alias("o")).select(F.col("o.call").alias("_call"), "o.leader")
-    return calls.join(led, F.col(call) == F.col("_call")).drop("_call")
+    rows = materialize(calls.withColumn("_id", F.monotonically_increasing_id()).withColumn("_stored", F.coalesce(stored, F.lit(False))))
+    by, order = ["key"], ["at", "late", "call", "id", "asks"]
+    start, ends = F.col("start"), F.col("start") + F.col("took")
+    waits = F.col("_stored") & (F.col("took") > 0)
+
+    def event(at: Column, late: Column, call: Column, asks: int) -> Column:
+        return F.struct(at.alias("at"), late.alias("late"), call.alias("call"), F.col("_id").alias("id"), F.lit(asks).alias("asks"))
+
+    asked = event(F.when(waits, ends).otherwise(start), F.when(waits, 0).otherwise(1), F.when(~waits, F.col("call")), 1)
+    events = rows.select("key", F.explode(F.array(event(start, F.lit(1), F.col("call"), 0), asked)).alias("e")).select("key", "e.*")
+    cut = ranged(events, order)
+    is_call = F.col("asks") == 0
+
+    # The first call after each question, in its range or the next one that has any.
+    back = Window.partitionBy(*by, "_range").orderBy(*[F.desc_nulls_last(c) for c in order]).rowsBetween(Window.unboundedPreceding, -1)
+    first = F.min_by(F.when(is_call, F.col("id")), F.when(is_call, F.struct(*order)))
+    known = carried(cut, by, {"_first": first}, lambda k: k.withColumn("_next", F.last("_first", ignorenulls=True).over(later(by))), ["_next"])
+    found = F.coalesce(F.last(F.when(is_call, F.col("id")), ignorenulls=True).over(back), F.col("_next"))
+    hops = known.withColumn("to", found).where("asks = 1 and to is not null").select("id", "to")
+
+    hops = materialize(hops)
+    lead = materialize(cut.where(is_call).groupBy("key").agg(F.min_by("id", F.struct(*order)).alias("lead")).select("lead"))
+    new = lead
+    while True:
+        new = materialize(lead.join(hops, F.col("lead") == F.col("id")).select(F.col("to").alias("lead")))
+        if new.isEmpty():
+            break
+        lead = lead.unionByName(new)
+        further = hops.select(F.col("id").alias("to_id"), F.col("to").alias("to_to"))
+        hops = materialize(hops.join(further, F.col("to") == F.col("to_id")).select("id", F.col("to_to").alias("to")))
+
+    led = cut.where(is_call).join(lead, F.col("id") == F.col("lead"), "left").withColumn("_l", F.when(F.col("lead").isNotNull(), F.struct("call")))
+    last = F.max_by("_l", F.when(F.col("_l").isNotNull(), F.struct(*order)))
+    known = carried(led, by, {"_last": last}, lambda k: k.withColumn("_before", F.last("_last", ignorenulls=True).over(earlier(by))), ["_before"])
+    leader = F.coalesce(F.last("_l", ignorenulls=True).over(upto(by, order)), F.col("_before"))
+    done = known.select(F.col("id").alias("_of"), leader["call"].alias("leader"))
+    return rows.join(done, F.col("_id") == F.col("_of")).drop("_id", "_of", "_stored")

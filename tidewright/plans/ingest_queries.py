@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
-import uuid
+import io
+import tarfile
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType
 
 from tidewright.operators import ingest as I
 from tidewright.operators import schema as S
 from tidewright.plans.registry import query, table
 from tidewright.sources import files
+from tidewright.sources.shared import new_folder
 
 CATALOG = I.catalog_of(
     [
@@ -21,45 +26,49 @@ CATALOG = I.catalog_of(
 )
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """A new folder where driver and executors can both write."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-    return f"{base.rstrip('/')}/tables-{uuid.uuid4().hex}"
-
-
 def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Customers as records with untidy keys and kinds."""
+    """Customers as records with untidy keys and kinds, and white space of all kinds."""
     k = F.col("c_custkey")
     v = lambda c: c.cast("variant")
-    id_ = F.when(k % 4 == 0, v(F.concat(F.lit(" "), k, F.lit(" ")))).when(k % 4 == 1, F.parse_json(F.concat(k, F.lit(".5")))).otherwise(v(k))
-    active = F.when(k % 3 == 0, v(F.lit(" true "))).when(k % 3 == 1, v(F.lit(False))).otherwise(v(F.lit(1)))
-    fields = [F.lit("_id"), id_, F.lit("Name"), v(F.col("c_name")), F.lit("bal_ance"), v(F.col("c_acctbal")), F.lit("isActive_"), v(F.lit(1)), F.lit("active"), active]
+    id_ = F.when(k % 4 == 0, v(F.concat(F.lit("\t"), k, F.lit("\n\u00a0")))).when(k % 4 == 1, F.parse_json(F.concat(k, F.lit(".5")))).otherwise(v(k))
+    active = F.when(k % 3 == 0, v(F.lit("\ttrue "))).when(k % 3 == 1, v(F.lit(False))).otherwise(v(F.lit(1)))
+    balance = F.when(k % 10 == 0, v(F.lit(" Infinity"))).when(k % 10 == 1, v(F.concat(F.col("c_acctbal"), F.lit("\r\n")))).otherwise(v(F.col("c_acctbal")))
+    fields = [F.lit("_id"), id_, F.lit("Name"), v(F.col("c_name")), F.lit("bal_ance"), balance, F.lit("isActive_"), v(F.lit(1)), F.lit("active"), active]
     record = F.create_map(*fields, F.lit("extra"), F.to_variant_object(F.array(F.col("c_nationkey"))))
     return table(spark, sf_dir, "customer").select("c_custkey", F.to_variant_object(record).alias("record"))
 
 
 @query(
     "i4_i6_i8_typed_rows",
-    """SELECT c_custkey, CASE WHEN c_custkey % 4 = 1 THEN NULL ELSE c_custkey END AS game_id, c_name AS name, c_acctbal AS balance,
+    """SELECT c_custkey, CASE WHEN c_custkey % 4 = 1 THEN NULL ELSE c_custkey END AS game_id, c_name AS name, CASE WHEN c_custkey % 10 <> 0 THEN c_acctbal END AS balance, c_custkey % 10 = 0 AS infinite,
        CASE c_custkey % 3 WHEN 0 THEN true WHEN 1 THEN false END AS active, '[' || c_nationkey || ']' AS extra, 'kr' AS server_region FROM customer""",
 )
 def i4(spark, sf_dir):
     rows = I.typed_rows(_records(spark, sf_dir), CATALOG["customers"], "kr", keep=("c_custkey",))
-    return rows.withColumn("extra", F.to_json("extra"))
+    infinite = F.col("balance") == float("inf")
+    return rows.withColumn("extra", F.to_json("extra")).withColumn("infinite", infinite).withColumn("balance", F.when(~F.col("infinite"), F.col("balance")))
 
 
 @query(
     "i1_i2_names",
-    """SELECT * FROM (VALUES ('Cards', 'cards'), ('card', 'cards'), ('card_rarities', 'cardrarities'), ('card_rarity', NULL), ('nosuch', NULL), ('virtual_items', NULL), ('customer', 'customers')) t(stem, "table")""",
+    """SELECT c_custkey, stem, CASE WHEN stem IN ('Cards', 'card') THEN 'cards' WHEN stem = 'card_rarities' THEN 'cardrarities' WHEN stem IN ('customer', 'custo_MER_s') THEN 'customers' END AS "table"
+       FROM (SELECT c_custkey, ['Cards', 'card', 'card_rarities', 'card_rarity', 'nosuch', 'virtual_items', 'customer', 'custo_MER_s'][1 + c_custkey % 8] AS stem FROM customer)""",
 )
 def i1(spark, sf_dir):
-    stems = ["Cards", "card", "card_rarities", "card_rarity", "nosuch", "virtual_items", "customer"]
-    return spark.createDataFrame([(s, I.resolve_table(s, CATALOG)) for s in stems], "stem string, table string")
+    names = ("Cards", "card", "card_rarities", "card_rarity", "nosuch", "virtual_items", "customer", "custo_MER_s")
+    stems = table(spark, sf_dir, "customer").select("c_custkey", F.get(F.array(*map(F.lit, names)), (F.col("c_custkey") % 8).cast("int")).alias("stem"))
+    return I.resolve_tables(stems, S.catalog_rows(spark, CATALOG).select("table").distinct())
 
 
-@query("i3_united_columns", """SELECT 'customers' AS stem, unnest(['Name', '_id', 'active', 'bal_ance', 'extra', 'isActive_']) AS "column" """)
+@query(
+    "i3_united_columns",
+    """SELECT 'customers' AS stem, unnest(['Name', '_id', 'active', 'bal_ance', 'extra', 'isActive_', 'Late']) AS "column", unnest([0, 1, 2, 3, 4, 5, 6]) AS place""",
+)
 def i3(spark, sf_dir):
-    return I.united_columns(_records(spark, sf_dir).withColumn("stem", F.lit("customers")))
+    more = F.to_variant_object(F.create_map(F.lit("Late"), F.col("c_custkey")))
+    rows = _records(spark, sf_dir).withColumn("stem", F.lit("customers")).withColumn("pos", F.col("c_custkey"))
+    late = rows.where("c_custkey > 5").withColumn("record", more)
+    return I.united_columns(rows.unionByName(late)).withColumn("place", F.col("place").cast("int"))
 
 
 @query(
@@ -80,7 +89,7 @@ def i7(spark, sf_dir):
     """SELECT CASE c_nationkey % 2 WHEN 0 THEN 'jp' ELSE 'en' END AS server_region, count(*) AS n, sum(CASE WHEN c_nationkey % 2 = 0 THEN 2 ELSE 1 END) AS v FROM customer GROUP BY 1""",
 )
 def i9(spark, sf_dir):
-    path = shared_folder(spark)
+    path = new_folder(spark)
     region = F.when(F.col("c_nationkey") % 2 == 0, "jp").otherwise("en")
     rows = table(spark, sf_dir, "customer").select("c_custkey", F.lit(1).alias("version"), region.alias("server_region"))
     I.replace_regions(rows, path)
@@ -94,22 +103,71 @@ def i14(spark, sf_dir):
     return I.repeated_keys(table(spark, sf_dir, "orders"), ["o_custkey"])
 
 
+def _put(spark: SparkSession, path: str, text: str) -> None:
+    """Lay down a small file, on whatever file system the folder is."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = at.getFileSystem(spark._jsc.hadoopConfiguration()).create(at)
+    out.write(bytearray(text.encode()))
+    out.close()
+
+
 @query(
-    "s1_s3_i13_folder",
-    """SELECT * FROM (VALUES ('bad', false, 0), ('nosuch', true, 1), ('regions', true, (SELECT count(*) FROM region))) t(stem, ok, "rows")""",
+    "s1_s3_i12_i13_i15_regions",
+    """WITH r AS (SELECT count(*) AS n FROM region) SELECT * FROM (VALUES ('en', 'region', 'empty', 0), ('jp', 'Regions', 'written', (SELECT n FROM r)), ('jp', 'nation', 'failed', 0), ('jp', 'nosuch', 'unknown', 0),
+       ('kr', 'nation', 'written', 1), ('kr', 'region', 'written', (SELECT n FROM r))) t(region, stem, outcome, "rows")""",
 )
 def s1(spark, sf_dir):
-    folder = shared_folder(spark)
-    regions = table(spark, sf_dir, "region").agg(F.collect_list(F.struct("r_regionkey", "r_name")).alias("r"))
-    texts = regions.select(F.lit("regions").alias("stem"), F.regexp_replace(F.to_json("r"), r"^\[", '[17,"x",').alias("value"))
-    more = spark.createDataFrame([("bad", "{"), ("nosuch", '[{"a":1}]')], "stem string, value string")
-    whole = texts.unionByName(more)
-    whole.write.partitionBy("stem").text(folder)
-    # Spark names its own part files; the folder of each is the table's name.
-    found = spark.read.text(f"{folder}/*/*.txt", wholetext=True)
-    stem = F.regexp_extract(F.input_file_name(), r"stem=([^/]+)/", 1)
-    status = files.file_status(found.select(stem.alias("stem"), "value"))
-    return status.select("stem", "ok", F.col("rows").cast("bigint").alias("rows"))
+    """Two runs over the folders of all regions; the second has a file that fails and one without rows."""
+    folder = new_folder(spark)
+    text = "[17,\"x\"," + ",".join(r.value for r in table(spark, sf_dir, "region").select(F.to_json(F.struct(F.col("r_regionkey").alias("id"), F.col("r_name").alias("Name"))).alias("value")).collect()) + "]"
+    catalog = I.catalog_of([{"name": "regions", "columns": ["game_id:int64", "name"]}, {"name": "nations", "columns": ["game_id:int64"]}])
+    for path, value in (("jp/Regions", text), ("jp/nation", "{"), ("jp/nosuch", "[]"), ("en/region", "[5]"), ("kr/region", text), ("kr/nation", '[{"id":" 1"}]')):
+        _put(spark, f"{folder}/in/{path}.json", value)
+    folders = {r: f"{folder}/in/{r}" for r in ("jp", "en", "kr", "tw")} | {"cn": None}
+    outcomes = []
+    for regions in (("kr",), ("jp", "en", "kr", "tw", "cn")):
+        try:
+            outcomes = I.ingest_regions(spark, {r: folders[r] for r in regions}, catalog, f"{folder}/out")
+        except I.IngestError as e:
+            outcomes = e.outcomes
+    done = spark.createDataFrame(outcomes, "region string, stem string, outcome string")
+    named = I.resolve_tables(done, S.catalog_rows(spark, catalog).select("table").distinct())
+    rows = [spark.read.parquet(f"{folder}/out/{t}").groupBy(F.col("server_region").alias("_r")).agg(F.count("game_id").alias("rows")).withColumn("_t", F.lit(t)) for t in catalog]
+    counted = named.join(rows[0].unionByName(rows[1]), (F.col("region") == F.col("_r")) & (F.col("table") == F.col("_t")), "left")
+    return counted.select("region", "stem", "outcome", F.coalesce("rows", F.lit(0)).alias("rows"))
+
+
+@F.arrow_udf(BinaryType())
+def _bundle(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    """A tar file for each number: garbage, without tables, or with some and a version; one is cut short."""
+
+    def one(k: int) -> bytes:
+        if k % 5 == 0:
+            return b"no tar" * 300
+        out, names = io.BytesIO(), ["notes.txt", "nested/x.json", ".hidden.json"]
+        names += [f"t{i}.json" for i in range(k % 3 + 1)] + ["version.json"] if k % 5 != 1 else []
+        with tarfile.open(fileobj=out, mode="w") as tar:
+            for name in names:
+                data = f'[{{"id":{k}}}]'.encode()
+                info = tarfile.TarInfo(name)
+                info.size = len(data)
+                tar.addfile(info, io.BytesIO(data))
+        return out.getvalue()
+
+    for column in batches:
+        yield pa.array([one(k) for k in column.to_pylist()], pa.binary())
+
+
+@query(
+    "s10_bundles",
+    """SELECT s_suppkey::VARCHAR AS path, CASE WHEN s_suppkey % 5 IN (0, 1) THEN 0 ELSE s_suppkey % 3 + 1 END AS files, CASE WHEN s_suppkey % 5 > 1 THEN '[{"id":' || s_suppkey || '}]' END AS version,
+       CASE s_suppkey % 5 WHEN 0 THEN 'unreadable' WHEN 1 THEN 'the bundle has no files' END AS error FROM supplier""",
+)
+def s10(spark, sf_dir):
+    k = F.col("s_suppkey")
+    bundles = table(spark, sf_dir, "supplier").select(k.cast("string").alias("path"), _bundle(k).alias("content"))
+    status = files.bundle_status(bundles, files.bundle_members(bundles, "version.json"))
+    return status.withColumn("error", F.when(F.col("error").startswith("ReadError"), "unreadable").otherwise(F.col("error")))
 
 
 @query(
@@ -129,19 +187,60 @@ def s11(spark, sf_dir):
     return out.select("c_custkey", v["appVersion"].alias("app"), v["cdnVersion"].cast("bigint").alias("cdn"), F.coalesce("accounts", F.lit(0)).cast("bigint").alias("accounts"), "source")
 
 
-@query("k1_k3_a4_write_tables", "SELECT * FROM (VALUES ('written', (SELECT count(DISTINCT n_name) FROM nation)), ('skipped', 2)) t(outcome, n)")
+@query(
+    "k1_k3_a4_write_tables",
+    """SELECT n_name AS table_key, n_nationkey::BIGINT AS id, CASE WHEN n_regionkey = 1 THEN 2 ELSE 1 END AS version, 'written' AS outcome FROM nation
+       UNION ALL SELECT * FROM (VALUES ('..', NULL, NULL, 'skipped'), ('a/b', NULL, NULL, 'skipped'))""",
+)
 def k1(spark, sf_dir):
-    good = table(spark, sf_dir, "nation").select(F.col("n_name").alias("table_key")).distinct()
-    bad = spark.createDataFrame([("..",), ("a/b",)], "table_key string")
-    tables = good.unionByName(bad).withColumn("value", F.parse_json(F.lit('[{"id":1}]')))
-    return files.write_tables(tables, shared_folder(spark))
+    """Written, some tables written again, and read back."""
+    folder = new_folder(spark)
+    value = lambda v: F.to_variant_object(F.array(F.struct(F.col("n_nationkey").cast("bigint").alias("id"), F.lit(v).alias("version"))))
+    good = table(spark, sf_dir, "nation").select(F.col("n_name").alias("table_key"), "n_regionkey", value(1).alias("value"), value(2).alias("again"))
+    bad = spark.createDataFrame([("..",), ("a/b",)], "table_key string").withColumn("value", F.parse_json(F.lit("[]")))
+    first = files.write_tables(good.select("table_key", "value").unionByName(bad), folder)
+    files.write_tables(good.where("n_regionkey = 1").select("table_key", F.col("again").alias("value")), folder)
+    read = files.read_tables(spark, folder).select(F.col("table_key").alias("_k"), F.try_variant_get("value", "$[0].id", "bigint").alias("id"), F.try_variant_get("value", "$[0].version", "int").alias("version"))
+    return first.join(read, F.col("table_key") == F.col("_k"), "left").select("table_key", "id", "version", "outcome")
+
+
+@query(
+    "k4_versions",
+    """SELECT 'current' AS kind, n_name AS region, CASE WHEN n_nationkey % 2 = 0 THEN '2.' ELSE '1.' END || n_regionkey AS version FROM nation
+       UNION ALL SELECT 'snapshot', n_name, '1.' || n_regionkey FROM nation UNION ALL SELECT 'snapshot', n_name, '2.' || n_regionkey FROM nation WHERE n_nationkey % 2 = 0
+       UNION ALL SELECT 'current', 'odd', '../x'""",
+)
+def k4(spark, sf_dir):
+    """Current versions and their history after two rounds; one version is no file name."""
+    folder = new_folder(spark)
+    rows = table(spark, sf_dir, "nation")
+    version = lambda v: F.concat(F.lit(f"{v}."), "n_regionkey").alias("dataVersion")
+    files.write_versions(rows.select(F.col("n_name").alias("region"), version(1)), folder)
+    odd = spark.createDataFrame([("odd", "../x")], "region string, dataVersion string")
+    files.write_versions(rows.where("n_nationkey % 2 = 0").select(F.col("n_name").alias("region"), version(2)).unionByName(odd), folder)
+    read = lambda name, kind: spark.read.parquet(f"{folder}/{name}").select(F.lit(kind).alias("kind"), "region", F.col("dataVersion").alias("version"))
+    return read("current", "current").unionByName(read("snapshots", "snapshot"))
 
 
 @query(
     "g3_g6_definitions",
-    """SELECT * FROM (VALUES ('cardrarities', 'card_rarity_type', 'string', ''), ('cardrarities', 'server_region', 'string', ''), ('cards', 'assetbundle_name', 'string', 'game_id,server_region'),
-       ('cards', 'game_id', 'bigint', 'game_id,server_region'), ('cards', 'server_region', 'string', 'game_id,server_region')) t("table", "column", type, key)""",
+    """WITH t AS (SELECT s_suppkey AS k, CASE WHEN s_suppkey = 3 THEN 'ngword' WHEN s_suppkey = 4 THEN 'musictag' ELSE 't' || s_suppkey END AS t FROM supplier),
+       c AS (SELECT t, k, unnest(['name', 'score', 'raw', 'odd', 'server_region']) AS c, unnest(['string', 'double', 'variant', 'variant', 'string']) AS y FROM t UNION ALL SELECT t, k, 'game_id', 'bigint' FROM t WHERE k % 3 = 0)
+       SELECT t AS "table", c AS "column", y AS "type", CASE WHEN k = 3 THEN '' WHEN k = 4 THEN 'music_id,music_tag,server_region' WHEN k % 3 = 0 THEN 'game_id,server_region' ELSE '' END AS key,
+         (k % 3 = 0)::INT + 5 AS columns FROM c""",
 )
 def g3(spark, sf_dir):
-    rows = [(t, c, k, ",".join(S.unique_key(t, list(CATALOG[t])))) for t in ("cards", "cardrarities") for c, k in S.table_columns(CATALOG[t]).items()]
-    return spark.createDataFrame(rows, "table string, column string, type string, key string")
+    k = F.col("s_suppkey")
+    name = F.when(k == 3, "ngword").when(k == 4, "musictag").otherwise(F.concat(F.lit("t"), k))
+    column = lambda i, c, s: F.struct(F.lit(i).alias("place"), F.lit(c).alias("column"), F.lit(s).alias("sort"))
+    some = F.array(column(1, "name", "string"), column(2, "score", "float64"), column(3, "raw", "json.RawMessage"), column(4, "odd", "unheard"))
+    columns = F.when(k % 3 == 0, F.concat(F.array(column(0, "id", "int64")), some)).otherwise(some)
+    catalog = table(spark, sf_dir, "supplier").select(name.alias("table"), F.explode(columns).alias("c")).select("table", "c.*")
+    defined = S.definitions(catalog)
+    # The statements and the JSON, taken apart again.
+    entries = S.catalog_entries(defined).select(F.from_json("entry", "name string, columns array<string>, unique_keys array<array<string>>").alias("e"))
+    entries = entries.select(F.col("e.name").alias("_n"), F.size("e.columns").alias("columns"), F.col("e.unique_keys").alias("keys"))
+    made = S.create_statements(defined).select(F.col("table").alias("_s"), "statement")
+    both = defined.join(entries, F.col("table") == F.col("_n")).join(made, F.col("table") == F.col("_s"))
+    right = F.col("statement").contains(F.concat(F.lit("`"), "column", F.lit("` "), "type")) & (F.coalesce(F.array_join(F.get("keys", F.lit(0)), ","), F.lit("")) == F.col("key"))
+    return both.where(right).select("table", "column", "type", "key", "columns")

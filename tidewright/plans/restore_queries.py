@@ -115,19 +115,21 @@ def r8(spark, sf_dir):
 
 @query(
     "r10_r13_tables",
-    """SELECT table_key, n FROM (SELECT 'customers' AS table_key, count(*) AS n FROM customer UNION ALL SELECT 'compactNations', 1 UNION ALL SELECT 'nations', count(*) FROM nation)""",
+    """SELECT 'customers' AS table_key, c_custkey AS id, CASE WHEN c_custkey % 3 <> 0 THEN c_name END AS name FROM customer UNION ALL SELECT 'nations', n_nationkey, n_name FROM nation
+       UNION ALL SELECT 'compactNations', NULL, NULL UNION ALL SELECT 'other', NULL, NULL""",
 )
 def r10(spark, sf_dir):
+    """Tables that come as arrays, as one value and in columns; the stale rows of one are replaced."""
     customers = table(spark, sf_dir, "customer").select(F.lit("customers").alias("table_key"), F.to_variant_object(F.array(_positional())).alias("value"))
     nations = table(spark, sf_dir, "nation").agg(F.sort_array(F.collect_list(F.struct("n_nationkey", "n_name"))).alias("r"))
     compact = nations.select(
         F.lit("compactNations").alias("table_key"),
-        F.to_variant_object(F.struct(F.col("r.n_nationkey").alias("id"), F.col("r.n_name").alias("name"))).alias("value"),
+        F.to_variant_object(F.struct(F.col("r.n_nationkey").alias("custKey"), F.col("r.n_name").alias("name"))).alias("value"),
     )
-    stale = spark.range(3).select(F.lit("nations").alias("table_key"), F.parse_json(F.lit('["stale"]')).alias("value"))
-    whole = R.expand_columnar(R.restore_tables(customers.unionByName(compact).unionByName(stale), registry(), {"customers": "shop.Customer"}))
-    n = F.when(F.col("table_key") == "nations", F.size(R.elements(F.col("value")))).when(_get("value", "$[0].custKey", "bigint").isNotNull() | (F.col("table_key") != "customers"), 1)
-    return whole.groupBy("table_key").agg(F.sum(n).cast("bigint").alias("n"))
+    plain = lambda key, text: spark.range(1).select(F.lit(key).alias("table_key"), F.parse_json(F.lit(text)).alias("value"))
+    whole = customers.unionByName(compact).unionByName(plain("nations", '["stale","old"]')).unionByName(plain("other", '{"x":1}'))
+    done = R.expand_columnar(R.restore_records(R.table_records(whole), registry(), {"customers": "shop.Customer", "other": "Order"}))
+    return done.select("table_key", _get("record", "$.custKey", "bigint").alias("id"), F.when(F.col("table_key") != "compactNations", _get("record", "$.name", "string")).alias("name"))
 
 
 @query(
@@ -152,30 +154,37 @@ def r11(spark, sf_dir):
 @query(
     "r14_r18_responses",
     """SELECT o_orderkey, CASE o_orderkey % 3 WHEN 0 THEN '/event/{id}/ranking-border' WHEN 1 THEN '/event/{id}/{view}' END AS template,
-       CASE WHEN o_orderkey % 3 = 0 AND o_orderkey % 5 > 1 THEN o_custkey END AS card FROM orders""",
+       CASE WHEN o_orderkey % 3 = 0 AND o_orderkey % 5 > 1 AND o_orderkey % 4 <> 0 THEN o_custkey END AS card, CASE WHEN o_orderkey % 3 = 1 AND o_orderkey % 5 > 1 AND o_orderkey % 4 <> 0 THEN o_orderstatus END AS status FROM orders""",
 )
 def r14(spark, sf_dir):
     k = F.col("o_orderkey")
     view = F.get(F.array(F.lit("ranking-border?x=1"), F.lit("top"), F.lit("top/all")), (k % 3).cast("int"))
-    value = F.to_variant_object(F.struct(F.array(F.struct(F.array(F.col("o_custkey"), F.lit(30).cast("bigint")).alias("userCard"))).alias("rankings")))
-    rows = table(spark, sf_dir, "orders").select("o_orderkey", F.concat(F.lit("/event/"), k % 50, F.lit("/"), view).alias("path"), value.alias("value"), (k % 5 > 1).alias("secondary"))
+    value = F.to_variant_object(F.struct(F.array(F.struct(F.array(F.col("o_custkey"), F.lit(30).cast("bigint")).alias("userCard"))).alias("rankings"), F.col("o_orderstatus").alias("Status")))
+    method = F.when(k % 4 == 0, "post").otherwise("GET")
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", F.concat(F.lit("//event/"), k % 50, F.lit("/"), view).alias("path"), value.alias("value"), (k % 5 > 1).alias("secondary"), method.alias("method"))
     routes = [
         {"path": "/event/{id}/ranking-border", "fields": [{"selector": "rankings[].userCard", "schema": "shop.Customer"}, {"selector": "missing.x", "schema": "Order"}]},
-        {"path": "/event/{id}/{view}"},
+        {"path": "/event/{id}/{view}", "schema": "Order"},
     ]
-    done = R.restore_responses(rows, registry(), routes, F.col("secondary"))
-    return done.select("o_orderkey", "template", _get("value", "$.rankings[0].userCard.custKey", "bigint").alias("card"))
+    done = R.restore_responses(rows, registry(), routes, F.col("secondary"), "method")
+    return done.select("o_orderkey", "template", _get("value", "$.rankings[0].userCard.custKey", "bigint").alias("card"), _get("value", "$.status", "string").alias("status"))
 
 
 @query(
     "s5_s9_codecs",
-    "SELECT c_custkey, c_custkey AS key, c_name AS name, c_acctbal AS amount, c_custkey % 2 = 0 AS bad FROM customer",
+    """SELECT c_custkey, c_custkey AS key, c_name AS name, c_acctbal AS amount, c_custkey % 2 = 0 AS bad, CASE WHEN c_custkey % 3 <> 0 THEN '{"z":1,"a":[2]}' END AS ordered, c_custkey % 7 <> 0 AS shallow FROM customer""",
 )
 def s5(spark, sf_dir):
     key, iv = F.unhex(F.lit("00112233445566778899aabbccddeeff")), F.unhex(F.lit("ffeeddccbbaa99887766554433221100"))
     body = codecs.json_to_msgpack(F.to_json(F.struct("c_custkey", "c_name", "c_acctbal")))
-    rows = table(spark, sf_dir, "customer").select("c_custkey", codecs.encrypt(body, key, iv).alias("sent"))
-    rows = rows.withColumn("bad", codecs.decrypt(F.substring(F.col("sent"), 1, F.length("sent") - (F.col("c_custkey") + 1) % 2), key, iv).isNull())
+    k = F.col("c_custkey")
+    more = codecs.json_to_msgpack(F.when(k % 3 == 0, F.lit("[1]")).otherwise(F.lit('{"z":1,"a":[2]}')))
+    nested = F.when(k % 7 == 0, F.lit(b"\x91" * 3000)).otherwise(F.lit(b"\x91" * 100 + b"\x01"))
+    rows = table(spark, sf_dir, "customer").select("c_custkey", codecs.encrypt(body, key, iv).alias("sent"), more.alias("more"), nested.alias("nested"))
+    rows = rows.withColumn("bad", codecs.decrypt(F.substring(F.col("sent"), 1, F.length("sent") - (k + 1) % 2), key, iv).isNull())
     text = codecs.msgpack_to_json(codecs.decrypt(F.col("sent"), key, iv))
-    v = rows.select("c_custkey", "bad", F.from_json(text, "c_custkey bigint, c_name string, c_acctbal double").alias("v"))
-    return v.select("c_custkey", F.col("v.c_custkey").alias("key"), F.col("v.c_name").alias("name"), F.col("v.c_acctbal").alias("amount"), "bad")
+    v = rows.select(
+        "c_custkey", "bad", F.from_json(text, "c_custkey bigint, c_name string, c_acctbal double").alias("v"),
+        codecs.object_text(codecs.msgpack_to_json("more")).alias("ordered"), codecs.msgpack_to_json("nested").isNotNull().alias("shallow"),
+    )
+    return v.select("c_custkey", F.col("v.c_custkey").alias("key"), F.col("v.c_name").alias("name"), F.col("v.c_acctbal").alias("amount"), "bad", "ordered", "shallow")

@@ -132,14 +132,14 @@ def f10(spark, sf_dir):
 @query("f12_cookies", "SELECT c_custkey, 'session=' || c_name || '; token=def==' || (c_custkey % 9) AS cookie FROM customer")
 def f12(spark, sf_dir):
     k, n = F.col("c_custkey"), F.col("c_name")
-    headers = F.array(F.concat(F.lit(" session = "), n, F.lit("; Path=/; HttpOnly; =x")), F.concat(F.lit("token=def=="), k % 9, F.lit("; Secure; SameSite=None")))
+    headers = F.array(F.concat(F.lit(" session\t=\u00a0"), n, F.lit("\n; Path=/; HttpOnly; =x")), F.concat(F.lit("token=def=="), k % 9, F.lit("; Secure; SameSite=None")))
     return table(spark, sf_dir, "customer").select("c_custkey", T.cookies(headers).alias("cookie"))
 
 
 @query(
     "f14_f15_f20_formats",
     """
-    SELECT o_orderkey, CASE WHEN length(o_custkey::VARCHAR) <= 4 THEN '****' ELSE '***' || right(o_custkey::VARCHAR, 4) END AS hidden,
+    SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN '***9é' || (o_custkey % 10) WHEN length(o_custkey::VARCHAR) <= 4 THEN '****' ELSE '***' || right(o_custkey::VARCHAR, 4) END AS hidden,
       CASE WHEN us >= 1000 THEN printf('%.3f ms', us / 1000) ELSE printf('%.1f us', us) END AS took,
       CASE WHEN o_orderkey % 4 = 0 THEN o_orderpriority ELSE ' ' || o_orderstatus END AS chosen
     FROM (SELECT *, (o_orderkey % 2500)::DOUBLE AS us FROM orders)
@@ -149,13 +149,14 @@ def f14(spark, sf_dir):
     k = F.col("o_orderkey")
     return _orders(spark, sf_dir).select(
         "o_orderkey",
-        T.redact(F.col("o_custkey").cast("string")).alias("hidden"),
+        T.redact(F.when(k % 3 == 0, F.concat(F.lit("user9é"), F.col("o_custkey") % 10)).otherwise(F.col("o_custkey").cast("string"))).alias("hidden"),
         T.duration_text((k % 2500).cast("double")).alias("took"),
         T.first_non_blank(F.when(k % 4 == 0, F.lit(" \t")).otherwise(F.concat(F.lit(" "), "o_orderstatus")), F.col("o_orderpriority")).alias("chosen"),
     )
 
 
-_KINDS = "['session_error','cookie_expired','upgrade_required','under_maintenance','network','parse','not_found','forbidden','database','odd']"
+_NAMES = ("session_error", "cookie_expired", "upgrade_required", "under_maintenance", "network", "parse", "not_found", "forbidden", "database", "odd")
+_KINDS = "[" + ",".join(f"'{n}'" for n in _NAMES) + "]"
 
 
 @query(
@@ -169,7 +170,7 @@ _KINDS = "['session_error','cookie_expired','upgrade_required','under_maintenanc
     """,
 )
 def f16(spark, sf_dir):
-    kinds = F.array(*map(F.lit, eval(_KINDS)))
+    kinds = F.array(*map(F.lit, _NAMES))
     rows = table(spark, sf_dir, "events").select("event_id", F.get(kinds, (F.col("event_id") % 10).cast("int")).alias("kind"))
     code = F.get(F.array(F.lit(200), F.lit(409), F.lit(418)), (F.col("event_id") % 3).cast("int"))
     kind = F.col("kind")

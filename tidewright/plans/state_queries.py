@@ -20,7 +20,8 @@ def _versions(rows, key: str, blank: int):
     k = F.col(key)
     text = lambda name, i: F.when((k + i) % blank == 0, " ").otherwise(F.concat(F.lit(name), k % 13)).alias(name)
     names = ("appVersion", "appHash", "dataVersion", "assetVersion", "assetHash")
-    return rows.select(k.cast("string").alias("region"), *[text(n, i) for i, n in enumerate(names)], (k % 3).cast("int").alias("cdnVersion"))
+    region = F.when(k == 1, "jp").when(k == 11, "en").otherwise(k.cast("string"))
+    return rows.select(region.alias("region"), *[text(n, i) for i, n in enumerate(names)], (k % 3).cast("int").alias("cdnVersion"))
 
 
 _FIELD = "CASE WHEN (k + {i}) % {b} = 0 THEN ' ' ELSE '{n}' || (k % 13) END"
@@ -32,10 +33,11 @@ def _merge_sql() -> str:
     pick = lambda a, b: f"CASE WHEN trim(coalesce({a}, '')) <> '' THEN {a} WHEN trim(coalesce({b}, '')) <> '' THEN {b} ELSE '' END"
     return f"""
     WITH o AS (SELECT c_custkey AS k, {side("o_", 2)}, c_custkey % 3 AS o_cdn FROM customer WHERE c_custkey % 4 <> 0),
-    n AS (SELECT c_custkey AS k, {side("n_", 3)}, c_custkey % 3 AS n_cdn FROM customer WHERE c_custkey % 5 <> 0)
-    SELECT CAST(k AS VARCHAR) AS region, {pick("o_appVersion", "n_appVersion")} AS appVersion, {pick("o_appHash", "n_appHash")} AS appHash,
+    n AS (SELECT c_custkey AS k, {side("n_", 3)}, c_custkey % 3 AS n_cdn FROM customer WHERE c_custkey % 5 <> 0 AND c_custkey % 6 <> 2
+      UNION ALL SELECT c_custkey AS k, {side("n_", 5)}, c_custkey % 3 AS n_cdn FROM customer WHERE c_custkey % 6 = 2)
+    SELECT CASE k WHEN 1 THEN 'jp' WHEN 11 THEN 'en' ELSE CAST(k AS VARCHAR) END AS region, {pick("o_appVersion", "n_appVersion")} AS appVersion, {pick("o_appHash", "n_appHash")} AS appHash,
       {pick("n_dataVersion", "o_dataVersion")} AS dataVersion, {pick("n_assetVersion", "o_assetVersion")} AS assetVersion,
-      CASE WHEN n_cdn IS NULL THEN {pick("n_assetHash", "o_assetHash")} ELSE n_assetHash END AS assetHash,
+      CASE WHEN n_cdn IS NULL OR k IN (1, 11) THEN {pick("n_assetHash", "o_assetHash")} ELSE n_assetHash END AS assetHash,
       coalesce(CASE WHEN n_cdn > 0 THEN n_cdn END, CASE WHEN o_cdn > 0 THEN o_cdn END, 0) AS cdnVersion
     FROM o FULL JOIN n USING (k)
     """
@@ -44,8 +46,9 @@ def _merge_sql() -> str:
 @query("m1_m4_merge_versions", _merge_sql())
 def m1(spark, sf_dir):
     rows = table(spark, sf_dir, "customer")
-    old, new = _versions(rows.where("c_custkey % 4 <> 0"), "c_custkey", 2), _versions(rows.where("c_custkey % 5 <> 0"), "c_custkey", 3)
-    out = S.merge_versions(old, new)
+    old, polled = _versions(rows.where("c_custkey % 4 <> 0"), "c_custkey", 2), _versions(rows.where("c_custkey % 5 <> 0"), "c_custkey", 3)
+    bundled = _versions(rows.where("c_custkey % 6 = 2"), "c_custkey", 5)
+    out = S.merge_versions(old, S.preferred_versions(bundled, polled))
     return out.withColumn("cdnVersion", F.col("cdnVersion").cast("bigint"))
 
 
@@ -64,9 +67,20 @@ def m2(spark, sf_dir):
     return S.app_hash_changes(current, rows.select("region", F.explode(F.array(none, answer, later)).alias("a")).select("region", "a.*"))
 
 
+@query(
+    "m5_retry",
+    """SELECT c_custkey::VARCHAR AS region, c_custkey % 3 = 0 OR (c_custkey % 2 = 0 AND c_custkey % 5 <> 0) AS due, c_custkey % 3 <> 0 AND c_custkey % 2 = 0 AND c_custkey % 5 <> 0 AS retry FROM customer""",
+)
+def m5(spark, sf_dir):
+    k = F.col("c_custkey")
+    rows = table(spark, sf_dir, "customer").select("c_custkey", k.cast("string").alias("region"))
+    runs = rows.where(k % 5 != 0).select("region", (k % 2 == 0).alias("failed"))
+    return S.regions_to_ingest(rows.select("region", (k % 3 == 0).alias("is_new")), runs)
+
+
 @query(
     "p1_authorize",
-    """SELECT o_orderkey, CASE WHEN c_custkey IS NULL OR o_orderkey % 7 = 0 THEN 401 WHEN c_nationkey % 5 <> o_orderkey % 5 THEN 403 ELSE 200 END AS status
+    """SELECT o_orderkey, CASE WHEN o_orderkey % 31 = 0 THEN 500 WHEN c_custkey IS NULL OR o_orderkey % 7 = 0 THEN 401 WHEN o_orderkey % 29 = 0 THEN 500 WHEN c_nationkey % 5 <> o_orderkey % 5 THEN 403 ELSE 200 END AS status
        FROM (SELECT *, CASE WHEN o_orderkey % 11 = 0 THEN -o_custkey ELSE o_custkey END AS u FROM orders) LEFT JOIN customer ON u = c_custkey""",
 )
 def p1(spark, sf_dir):
@@ -76,12 +90,13 @@ def p1(spark, sf_dir):
     secret = lambda x: F.concat(F.lit("c"), x)
     requests = table(spark, sf_dir, "orders").select("o_orderkey", user.alias("user_id"), F.when(k % 7 == 0, "bad").otherwise(secret(F.abs(user))).alias("credential"), region(k).alias("server"))
     users = c.select(F.col("c_custkey").alias("id"), secret(F.col("c_custkey")).alias("credential"))
+    users = users.unionByName(users.where("id % 2 = 0"))  # repeated ids
     grants = c.select(F.col("c_custkey").alias("user_id"), region(F.col("c_nationkey")).alias("server"))
-    return S.authorize(requests, users, grants).select("o_orderkey", F.col("status").cast("bigint").alias("status"))
+    return S.authorize(requests, users, grants, user_fault=k % 31 == 0, grant_fault=k % 29 == 0).select("o_orderkey", F.col("status").cast("bigint").alias("status"))
 
 
 @query(
-    "a1_a3_summaries",
+    "a1_a2_summaries",
     """WITH e AS (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS s FROM events),
        r AS (SELECT event_type, value AS v, row_number() OVER (PARTITION BY event_type ORDER BY value) - 1 AS i, count(*) OVER (PARTITION BY event_type) AS n FROM e WHERE s > 3)
        SELECT event_type, max(n) AS n, min(v) AS min, max(CASE WHEN i = floor(0.5 * (n - 1) + 0.5) THEN v END) AS p50, max(CASE WHEN i = floor(0.95 * (n - 1) + 0.5) THEN v END) AS p95,
@@ -93,6 +108,16 @@ def a1(spark, sf_dir):
     return S.summarize(kept, "event_type", "value").withColumn("mean", F.round("mean", 6))
 
 
+@query(
+    "a3_composed",
+    """SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, round(l_quantity + l_discount, 6) AS cpu_new, round(l_extendedprice + l_tax + l_discount, 6) AS cpu_old FROM lineitem""",
+)
+def a3(spark, sf_dir):
+    totals = {"cpu_new": ["l_quantity", "l_discount"], "cpu_old": ["l_extendedprice", "l_tax", "l_discount"]}
+    rows = S.composed(table(spark, sf_dir, "lineitem"), totals)
+    return rows.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", *[F.round(t, 6).alias(t) for t in totals])
+
+
 @query(
     "a5_a6_array_diagnostics",
     "SELECT o_custkey, count(*) AS n, CASE WHEN o_custkey % 2 = 0 THEN 'BIGINT' ELSE 'STRING' END AS kind FROM orders GROUP BY o_custkey",
@@ -142,11 +167,22 @@ def o4(spark, sf_dir):
     return S.round_robin(slots)
 
 
-@query("o5_o6_first_wins", "SELECT l_orderkey, arg_min(l_partkey, l_linenumber::BIGINT * 1000000000000 + l_partkey * 1000000 + l_suppkey) AS l_partkey FROM lineitem GROUP BY 1")
-def o5(spark, sf_dir):
+@query("o6_first_wins", "SELECT l_orderkey, arg_min(l_partkey, l_linenumber::BIGINT * 1000000000000 + l_partkey * 1000000 + l_suppkey) AS l_partkey FROM lineitem GROUP BY 1")
+def o6(spark, sf_dir):
     return S.first_wins(table(spark, sf_dir, "lineitem").withColumn("seq", _line()), "l_orderkey", "l_partkey", "seq")
 
 
+@query(
+    "o5_member_order",
+    """SELECT p_partkey, row_number() OVER (PARTITION BY p_brand ORDER BY CASE WHEN p_partkey % 3 = 0 THEN p_size ELSE 2147483647 END, CASE WHEN p_partkey % 3 = 1 THEN p_type ELSE p_name END, p_partkey) AS place FROM part""",
+)
+def o5(spark, sf_dir):
+    k = F.col("p_partkey")
+    order = S.member_order(F.when(k % 3 == 0, F.col("p_size")), F.when(k % 3 == 1, F.col("p_type")), F.col("p_name"))
+    place = F.row_number().over(Window.partitionBy("p_brand").orderBy(order, k)).cast("bigint")
+    return table(spark, sf_dir, "part").select("p_partkey", place.alias("place"))
+
+
 @query(
     "t1_breaker",
     """WITH c AS (SELECT event_id, event_type, epoch_us(ts) // 1000 AS t, value > 20 AS failed FROM events),

@@ -26,11 +26,15 @@ def encrypt(body: Column, key: Column, iv: Column) -> Column:
     return F.substring(whole, 17, 1 << 30)
 
 
+#: Arrays and maps in each other; what is nested deeper is no value.
+DEPTH = 128
+
+
 class _Reader:
     """Reads one MessagePack value; ValueError if the bytes are none."""
 
     def __init__(self, data: bytes):
-        self.data, self.at = data, 0
+        self.data, self.at, self.depth = data, 0, 0
 
     def take(self, n: int) -> bytes:
         if self.at + n > len(self.data):
@@ -56,7 +60,19 @@ class _Reader:
             raise ValueError("not a finite number")
         return x
 
+    def deeper(self) -> None:
+        self.depth += 1
+        if self.depth > DEPTH:
+            raise ValueError("nested too deep")
+
+    def array(self, n: int) -> list:
+        self.deeper()
+        out = [self.value() for _ in range(n)]
+        self.depth -= 1
+        return out
+
     def object(self, n: int) -> dict:
+        self.deeper()
         out = {}
         for _ in range(n):
             key, value = self.value(), self.value()
@@ -64,6 +80,7 @@ class _Reader:
                 out[key] = value
             elif isinstance(key, int) and not isinstance(key, bool):
                 out[str(key)] = value
+        self.depth -= 1
         return out
 
     def value(self):
@@ -73,7 +90,7 @@ class _Reader:
         if c < 0x90:
             return self.object(c & 15)
         if c < 0xA0:
-            return [self.value() for _ in range(c & 15)]
+            return self.array(c & 15)
         if c < 0xC0:
             return self.text(c & 31)
         if c >= 0xE0:
@@ -86,7 +103,7 @@ class _Reader:
             if sort == "ext":
                 self.take(1)  # its kind
                 return self.blob(n)
-            return {"bin": self.blob, "str": self.text, "map": self.object, "array": lambda k: [self.value() for _ in range(k)]}[sort](n)
+            return {"bin": self.blob, "str": self.text, "map": self.object, "array": self.array}[sort](n)
         if c in _NUMBERS:
             form = _NUMBERS[c]
             return self.real(form) if form in "fd" else self.number(form)
@@ -108,7 +125,8 @@ def unpack(data: bytes) -> str:
     """MessagePack bytes as JSON text.
 
     Whole-number keys become text and keys of other kinds are left out; binary
-    values become base64; a text that is no UTF-8 is empty.
+    values become base64; a text that is no UTF-8 is empty. ValueError for bytes
+    that are no value, or one nested over ``DEPTH`` deep.
     """
     return json.dumps(_Reader(data).value(), ensure_ascii=False, separators=(",", ":"))
 
@@ -141,6 +159,11 @@ def pack(value) -> bytes:
     raise TypeError(type(value).__name__)
 
 
+def object_text(text: Column) -> Column:
+    """JSON text whose value is an object, as it is (so its members keep their order); null for any other value."""
+    return F.when(F.schema_of_variant(F.try_parse_json(text)).startswith("OBJECT"), text)
+
+
 @F.arrow_udf(StringType())
 def msgpack_to_json(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
     """Arrow batches of MessagePack to JSON text; null where the bytes are no value.
@@ -165,7 +188,7 @@ def json_to_msgpack(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
     def one(text: str | None) -> bytes | None:
         try:
             return None if text is None else pack(json.loads(text))
-        except ValueError:
+        except (ValueError, RecursionError):  # no JSON, or nested without end
             return None
 
     for column in batches:
