@@ -34,10 +34,24 @@ def docs(spark):
     return spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
 
 
+#: Names that operators make, or made once, for themselves.
+CLASHING = (
+    "shard", "SLOT", "mix_slot", "_h", "_fp", "_m", "_src", "_rank", "_found", "lang_pred", "rid", "_rid", "hub", "_hub", "q_of", "j", "runs",
+    "_j", "_period", "_run", "_runs", "_at", "_q", "_start", "_unit", "_unit_of", "_q_of", "_j_of", "_parent", "_got", "_none", "d", "h", "part", "place",
+    "_part", "_place", "_of", "_made", "n", "s", "key", "cid", "sig", "keys", "tokens", "rule", "label", "_v", "_d", "_l", "size", "law", "id", "stretch",
+    "guest", "others", "root", "node", "first", "gone_part", "gone_place", "unit", "weight", "blocks", "_b", "_n", "_off", "p", "m",
+)
+
+
 def wider(df):
-    """The same with columns whose names clash with those that operators make."""
+    """The same with columns whose names clash with those that operators make; each holds an x."""
     from pyspark.sql import functions as F
 
-    for name in ("shard", "SLOT", "mix_slot", "_h", "_fp", "_m", "_src", "_rank", "_found", "lang_pred"):
-        df = df.withColumn(name, F.lit("x"))
-    return df
+    return df.select("*", *[F.lit("x").alias(name) for name in CLASHING])
+
+
+def untouched(df, made=()):
+    """Whether a result still has the clashing columns, each with its x, but for those that are said to be replaced."""
+    gone = {m.lower() for m in made}
+    kept = [c for c in CLASHING if c.lower() not in gone]
+    return set(kept) <= set(df.columns) and all(r[c] == "x" for r in df.select(*[f"`{c}`" for c in kept]).collect() for c in kept)

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -13,41 +11,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
+from tidewright.sources.shared import materialize, new_folder, shared_dir  # noqa: F401
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One input table, read through Spark so that any file system works."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``.
-
-    Only in plain local mode, where driver and executors are one process, a
-    temporary folder stands in when the setting is missing.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found
-    jvm_dir = spark.sparkContext._jsc.sc().getCheckpointDir()
-    if jvm_dir.isDefined():
-        return jvm_dir.get()
-    if not spark.sparkContext.master.startswith(("local[", "local")) or spark.sparkContext.master.startswith(
-        "local-cluster"
-    ):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    own = tempfile.mkdtemp(prefix="tidewright-")
-    spark.sparkContext.setCheckpointDir(own)
-    return spark.sparkContext._jsc.sc().getCheckpointDir().get()
-
-
-def materialize(df: DataFrame) -> DataFrame:
-    """Cut the lineage: write ``df`` to the shared folder and read it back."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/tidewright-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def fresh(df: DataFrame, base: str) -> str:
     """A column name that ``df`` has not got, whatever the case of its names."""
     taken = {c.lower() for c in df.columns}
@@ -109,19 +80,27 @@ def distributed_rank(
     )
 
 
+def _one_table(docs: DataFrame) -> bool:
+    """Whether rows come from one table, by projections and filters only."""
+    plan = docs._jdf.queryExecution().analyzed()
+    while plan.nodeName() in ("Project", "Filter", "SubqueryAlias"):
+        plan = plan.children().head()
+    return plan.children().isEmpty()
+
+
 def read_order(docs: DataFrame, part: str, place: str) -> DataFrame:
-    """Add ``part`` and ``place``, by which the rows of ``docs`` are in their order.
+    """Add ``part`` and ``place``, which tell rows apart and by which they are in their order.
 
-    Of a table of files, the order is by the files' names and the rows' places in
-    them, however Spark deals files to tasks; else it is that of partitions.
+    They are the files' names and the rows' places in them, however Spark deals
+    files to tasks, and the same at each look. Rows that are not of one table of files
+    are written to the shared folder first.
     """
-    if docs._jdf.queryExecution().analyzed().children().isEmpty():
+    if _one_table(docs):
         try:
             return docs.withColumn(part, F.col("_metadata.file_path")).withColumn(place, F.col("_metadata.row_index"))
         except AnalysisException:
             pass  # no files
-    at = F.monotonically_increasing_id()
-    return docs.withColumn(part, F.format_string("%012d", F.shiftright(at, 33))).withColumn(place, at.bitwiseAND(F.lit((1 << 33) - 1)))
+    return materialize(docs).withColumn(part, F.col("_metadata.file_path")).withColumn(place, F.col("_metadata.row_index"))
 
 
 def commonest(counts: DataFrame, n: str, most: int) -> tuple[DataFrame, int, int]:

@@ -176,19 +176,22 @@ def matches(items: Items, numbers: list[np.ndarray], share: float, cells: int =
     return out
 
 
-def item_blocks(items: DataFrame, block_bytes: int = 8 << 20) -> list[list[tuple[int, str]]]:
-    """The stated test items in blocks of about ``block_bytes``, fetched a block at a time."""
+def item_blocks(items: DataFrame, block_bytes: int = 8 << 20) -> Iterator[list[tuple[int, str]]]:
+    """The stated test items in blocks of about ``block_bytes``; the driver holds one at a time."""
     sized = items.select(F.col("item_id").cast("long").alias("item_id"), "text").where("text is not null")
     total = sized.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = max(1, -(-total // block_bytes))
     part = F.pmod(F.xxhash64("item_id", "text"), F.lit(n))
-    return [[(r.item_id, r.text) for r in sized.where(part == k).collect()] for k in range(n)]
+    for k in range(n):
+        yield [(r.item_id, r.text) for r in sized.where(part == k).distinct().collect()]
 
 
 def _spread(docs: DataFrame, items: Items) -> dict[int, int]:
     """The number of documents that hold each seed, and of all (-1), summed in tasks and then over them."""
+    sent = docs.sparkSession.sparkContext.broadcast(items)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        items = sent.value
         held = np.zeros(len(items.seeds), np.int64)
         rows = 0
         for batch in batches:
@@ -199,12 +202,15 @@ def _spread(docs: DataFrame, items: Items) -> dict[int, int]:
         yield pa.RecordBatch.from_arrays([pa.array(np.append(items.seeds[some], -1)), pa.array(np.append(held[some], rows))], names=["seed", "n"])
 
     counted = docs.select("text").mapInArrow(run, "seed long, n long").groupBy("seed").agg(F.sum("n").alias("n"))
-    return {r.seed: r.n for r in counted.collect()}
+    found = {r.seed: r.n for r in counted.collect()}
+    sent.destroy()
+    return found
 
 
-def _matching(items: Items, share: float):
+def _matching(sent, share: float):
     @F.arrow_udf(MATCHES)
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        items = sent.value
         kind = pa.struct([("item_id", pa.int64()), ("score", pa.float64()), ("first_word", pa.int32()), ("last_word", pa.int32())])
         for column in batches:
             out: list[list[dict]] = []
@@ -236,15 +242,17 @@ def with_matches(docs: DataFrame, benchmark: DataFrame, out: str, share: float =
     each changed, added or missing one) and the passage's first and last word.
     An item is held if the score is ``share`` of its words or more (6 words at
     least; all of a shorter item). Whole texts are searched, of any length; null
-    and empty texts hold nothing. The test items are a stated query set: they
-    are indexed in blocks of a bounded size, and every block meets all rows in
-    one narrow pass, without shuffling texts. Rows stay as they are.
+    and empty texts hold nothing. The test items are a stated query set, repeated
+    rows of it count once: blocks of a bounded size are indexed and broadcast one
+    after another, and every block meets all rows in one narrow pass to count its
+    seeds and one to align, without shuffling texts. Rows stay as they are.
     """
     found: list[Column] = []
     for block in item_blocks(benchmark, block_bytes):
         everything = index(block)
         if everything.ids:
-            found.append(_matching(index(block, _spread(docs, everything)), share)(F.col("text")))
+            sent = docs.sparkSession.sparkContext.broadcast(index(block, _spread(docs, everything)))
+            found.append(_matching(sent, share)(F.col("text")))
     empty = F.array().cast(MATCHES)
     return docs.withColumn(out, F.concat(*found) if found else empty)
 

@@ -10,8 +10,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewright.llm.common import crc_mod
-from tidewright.llm.ngrams import class_sample, has_letter, presence_blocks, sample_texts
+from tidewright.llm.common import crc_mod, fresh
+from tidewright.llm.ngrams import class_sample, has_letter, presence_blocks
 
 SIZES, BITS = (1, 2, 3), 15
 
@@ -53,33 +53,37 @@ def _kernel(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (a @ b.T) / norm(a)[:, None] / norm(b)[None, :]
 
 
-def fit(texts: list[str], labels: list[str], per_class_landmarks: int = 16, ridge: float = 1e-3) -> KernelRidge | None:
-    """Fit on a bounded sample; None without any text."""
+def fit(packed: np.ndarray, labels: list[str], per_class_landmarks: int = 16, most_landmarks: int = 3200, ridge: float = 1e-3) -> KernelRidge | None:
+    """Fit on a bounded sample of packed presence rows; None without any text.
+
+    A language has ``per_class_landmarks`` of its texts as landmarks, fewer (one at
+    least) if there were over ``most_landmarks`` in all.
+    """
     classes = sorted(set(labels))
     if not classes:
         return None
-    grams = np.concatenate(list(presence_blocks(pa.array(texts, pa.string()), SIZES, BITS, lower=True))).astype(np.float32)
-    which = np.array([classes.index(x) for x in labels])
-    marks = np.concatenate([np.flatnonzero(which == k)[:per_class_landmarks] for k in range(len(classes))])
+    grams = np.unpackbits(packed, axis=1).astype(np.float32)
+    number = {c: i for i, c in enumerate(classes)}
+    which = np.array([number[x] for x in labels])
+    each = max(1, min(per_class_landmarks, most_landmarks // len(classes)))
+    marks = np.concatenate([np.flatnonzero(which == k)[:each] for k in range(len(classes))])
     inner, cross = _kernel(grams[marks], grams[marks]).astype(float), _kernel(grams, grams[marks]).astype(float)
     # Each class counts alike, however many of its texts there are.
     share = 1.0 / np.bincount(which)[which]
     target = (which[:, None] == np.arange(len(classes))[None, :]).astype(float)
     left = (cross * share[:, None]).T @ cross + ridge * len(classes) * (inner + 1e-6 * np.eye(len(marks)))
     weights = np.linalg.solve(left, (cross * share[:, None]).T @ target)
-    return KernelRidge(classes, np.packbits(grams[marks].astype(np.uint8), axis=1), weights.astype(np.float32))
+    return KernelRidge(classes, packed[marks], weights.astype(np.float32))
 
 
-def train(docs: DataFrame, learn: Column, per_class: int = 250) -> KernelRidge | None:
-    """Fit on at most ``per_class`` whole texts of each language in ``docs``."""
+def train(docs: DataFrame, learn: Column, per_class: int = 250, most: int = 20_000) -> KernelRidge | None:
+    """Fit on at most ``per_class`` whole texts of each language in ``docs``, ``most`` in all; every language has some."""
     rows = docs.where(learn & F.col("lang").isNotNull() & has_letter(F.col("text"))).select("doc_id", "lang")
-    ids = class_sample(rows, "lang", per_class, seed=4)
-    texts, labels = sample_texts(docs, ids, "lang", most=4 * per_class * 200)
-    return fit(texts, labels)
+    return fit(*class_sample(docs, rows, "lang", per_class, most, seed=4, sizes=SIZES, bits=BITS, lower=True))
 
 
 def predict(docs: DataFrame, model: KernelRidge | None) -> DataFrame:
-    """Add ``lang_pred`` and ``lang_score`` (columns of that name are replaced).
+    """Add ``lang_pred`` and ``lang_score`` (columns of that name, in any case, are replaced; all others stay).
 
     Whole texts are read, of any length. Null texts and texts without a letter
     are ``und`` with score 0, as are all texts without a model (no labelled
@@ -100,16 +104,20 @@ def predict(docs: DataFrame, model: KernelRidge | None) -> DataFrame:
         found: Column = und
     else:
         found = F.when(has_letter(F.col("text")), decide("text")).otherwise(und)
-    out = docs.withColumn("_found", found)
-    return out.withColumn("lang_pred", F.col("_found.lang")).withColumn("lang_score", F.col("_found.score")).drop("_found")
+    docs = docs.drop(*[c for c in docs.columns if c.lower() in ("lang_pred", "lang_score")])
+    got = fresh(docs, "_found")
+    kept = [F.col(f"`{c}`") for c in docs.columns]
+    return docs.withColumn(got, found).select(*kept, F.col(f"{got}.lang").alias("lang_pred"), F.col(f"{got}.score").alias("lang_score"))
 
 
 def language_id(docs: DataFrame, per_class: int = 250) -> DataFrame:
     """``doc_id, held_out, lang_pred, score`` of every document.
 
     Learns from documents with a language whose crc32 of the id's text is not a
-    multiple of 5 (a bounded sample of ``per_class`` a language); predicts from
-    the text alone.
+    multiple of 5 (a bounded sample of ``per_class`` a language, 20,000 in all, each
+    language in it); predicts from the text alone. Null ids are not learned from. Of
+    an id that repeats, the smallest language and one text are. Repeated rows are
+    judged alike; an empty table gives an empty one; other columns are not used.
     """
     held = crc_mod(F.col("doc_id"), 5) == 0
     model = train(docs, ~held, per_class)

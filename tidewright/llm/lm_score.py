@@ -1,14 +1,18 @@
 """LM scoring: a log-bilinear model trained with noise-contrastive estimation.
 
-The commonest words (and the text's end) are the model's shortlist; all other
-words share one place in it. The two words before predict the next one:
-``s(w | u, v) = (C1 q_u + C2 q_v) . r_w + b_w``. Training is noise-contrastive,
-in numpy, on all partitions at once from the same start, and the results are
-averaged, weighted by their tokens. For scoring, ``s`` falls apart into a term
-for each context place, so two matrix products give all terms and one more gives
-the normalisers of all pairs of context words at once: each token's probability
-is exactly normalised and costs three look-ups. A word outside the shortlist has
-the probability of its place times its share there by its count in the corpus.
+The output has a place for each of the commonest words (and the text's end), and
+classes, by a hash, that all other words fall into. The two words before predict
+the next place: ``s(w | u, v) = (C1 q_u + C2 q_v) . r_w + b_w``; a context word has a
+vector of its own if it is very common, else that of its class. A word in a class has
+the class's probability times its share there by its count in the corpus. So
+every word is predicted by the model, in one step or in two.
+
+Training is noise-contrastive, in numpy, on shards of the training texts side by
+side from the same start, and the results are averaged, weighted by their tokens.
+For scoring, ``s`` falls apart into a term for each context place, so two matrix
+products give all terms and one more gives the normalisers of all pairs of context
+words at once: each token's probability is exactly normalised and costs three
+look-ups.
 """
 
 from __future__ import annotations
@@ -16,17 +20,21 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewright.llm.common import commonest, crc_mod, materialize, text_bytes
+from tidewright.llm.common import commonest, crc_mod, fresh, materialize, read_order, text_bytes
 
 #: The text's end as a token; no word is empty.
 END = b""
-_BLOCKS = 16
+#: Places of context words: those of the commonest words, and classes for all others.
+NEAR, NEAR_CLASSES = 768, 256
+#: Tokens of a shard, about; blocks that parameters are cut into to be averaged.
+SHARD, _BLOCKS = 2_000_000, 16
 
 
 def tokens_of(text: bytes) -> list[bytes]:
@@ -77,32 +85,48 @@ class Vocabulary:
     counts: np.ndarray
     total: int  # tokens in training
     distinct: int
-    short: int  # words of the shortlist; its last place is for all others
+    short: int  # words with a place of their own
+    rest: np.ndarray  # of each class: the sum over its words of count + 1, and 1 for an unknown word
 
     def __post_init__(self):
-        top = self.counts[: self.short]
-        others = max(0, self.total - int(top.sum()))
-        #: Sum over the other words of count + 1, and 1 for an unknown word.
-        self.rest = others + (self.distinct - len(top)) + 1
-        share = np.append(top, others).astype(float) + 1.0
+        own = self.counts[: self.short] + 1.0
+        share = np.append(own, self.rest)
         self.share = share / share.sum()
+        every = np.arange(len(share))
+        near = min(NEAR, self.short)
+        #: The context place of each output place.
+        self.context = np.where(every < near, every, near + every % NEAR_CLASSES)
+        self.contexts = near + NEAR_CLASSES
+        #: The output place of each common word.
+        self.places = np.array([i if i < self.short else self.place(w) for i, w in enumerate(self.words)], np.int64)
+
+    def place(self, word: bytes) -> int:
+        """The output place of a word without one of its own."""
+        return self.short + crc32(word) % len(self.rest)
 
     @property
     def end(self) -> int:
-        """The place of the text's end."""
-        return self.words.index(END) if END in self.words[: self.short] else self.short
+        """The output place of the text's end."""
+        return self.words.index(END) if END in self.words[: self.short] else self.place(END)
 
 
-def vocabulary(counts: DataFrame, short: int, common: int) -> Vocabulary:
+def vocabulary(counts: DataFrame, short: int, classes: int, common: int) -> Vocabulary:
     """At most ``common`` of the commonest words, a documented bound of what is broadcast."""
     kept, total, distinct = commonest(counts, "n", common)
     rows = sorted(kept.collect(), key=lambda r: (-r.n, bytes(r.token)))
-    return Vocabulary([bytes(r.token) for r in rows], np.array([r.n for r in rows], np.int64), total, distinct, min(short, len(rows)))
+    words = [bytes(r.token) for r in rows]
+    short = min(short, len(rows))
+    rest = np.ones(classes, np.float64)
+    for r in counts.groupBy(F.pmod(F.crc32("token"), F.lit(classes)).alias("k")).agg(F.sum(F.col("n") + 1).alias("n")).collect():
+        rest[r.k] += r.n
+    for r, w in zip(rows[:short], words, strict=False):
+        rest[crc32(w) % classes] -= r.n + 1
+    return Vocabulary(words, np.array([r.n for r in rows], np.int64), total, distinct, short, rest)
 
 
 @dataclass
 class LogBilinear:
-    """Parameters: context vectors q, target vectors r, biases b, context matrices c1 and c2."""
+    """Parameters: vectors q of context places, vectors r and biases b of output places, context matrices c1 and c2."""
 
     q: np.ndarray
     r: np.ndarray
@@ -111,11 +135,10 @@ class LogBilinear:
     c2: np.ndarray
 
     @classmethod
-    def start(cls, share: np.ndarray, width: int, seed: int = 5) -> LogBilinear:
-        """Biases are the words' shares, so the model starts as the unigram one."""
+    def start(cls, share: np.ndarray, contexts: int, width: int, seed: int = 5) -> LogBilinear:
+        """Biases are the places' shares, so the model starts as the unigram one."""
         rng = np.random.default_rng(seed)
-        size = len(share)
-        q, r = (rng.normal(0, 0.1, (size, width)).astype(np.float32) for _ in range(2))
+        q, r = (rng.normal(0, 0.1, (size, width)).astype(np.float32) for size in (contexts, len(share)))
         near = [(np.eye(width) + rng.normal(0, 0.02, (width, width))).astype(np.float32) for _ in range(2)]
         return cls(q, r, np.log(share).astype(np.float32), *near)
 
@@ -132,13 +155,13 @@ class LogBilinear:
     def tables(self) -> tuple[np.ndarray, np.ndarray]:
         """``t1[u, w]`` (the bias is in it) and ``t2[v, w]``, with log normalisers taken off later.
 
-        Returns ``(t1, t2, log_z)``; the log-probability of ``w`` after ``u, v``
+        Returns ``(t1, t2, log_z)`` of context by output and context by context
+        places; the log-probability of ``w`` after ``u, v``
         (``v`` the nearer) is ``t1[u, w] + t2[v, w] - log_z[u, v]``.
         """
         t1 = np.clip((self.q @ self.c1.T) @ self.r.T, -15, 15) + self.b
         t2 = np.clip((self.q @ self.c2.T) @ self.r.T, -15, 15)
-        log_z = np.log(np.exp(t1.astype(np.float32)) @ np.exp(t2.astype(np.float32)).T)
-        return t1, t2, log_z
+        return t1, t2, np.log(np.exp(t1) @ np.exp(t2).T)
 
 
 class Trainer:
@@ -195,25 +218,52 @@ def contexts(numbers: np.ndarray, starts: np.ndarray, end: int) -> tuple[np.ndar
     return u, v
 
 
-def _numbered(texts: Iterable[bytes], places: dict[bytes, int], most: int) -> Iterator[tuple[np.ndarray, np.ndarray, list[list[bytes]]]]:
-    """Groups of texts of about ``most`` tokens: word numbers (-1: not common), starts, and tokens."""
-    get = places.get
+def _groups(texts: Iterable[bytes], most: int) -> Iterator[tuple[list[list[bytes]], np.ndarray]]:
+    """Tokens of texts in groups of about ``most`` tokens, and where each text starts."""
     group: list[list[bytes]] = []
     size = 0
-
-    def close():
-        numbers = np.fromiter((get(w, -1) for words in group for w in words), np.int64, size)
-        lengths = np.fromiter(map(len, group), np.int64, len(group))
-        return numbers, np.cumsum(lengths) - lengths, group
-
     for text in texts:
         group.append(tokens_of(text))
         size += len(group[-1])
         if size >= most:
-            yield close()
+            yield group, np.cumsum([0, *map(len, group[:-1])])
             group, size = [], 0
     if group:
-        yield close()
+        yield group, np.cumsum([0, *map(len, group[:-1])])
+
+
+class _Places(dict):
+    """Output places by word; those of words that are not common are worked out."""
+
+    def __init__(self, vocab: Vocabulary):
+        super().__init__(zip(vocab.words, vocab.places.tolist(), strict=True))
+        self.place = vocab.place
+
+    def __missing__(self, word: bytes) -> int:
+        return self.place(word)
+
+
+def numbered(learn: DataFrame, sent, shards: int) -> DataFrame:
+    """``shard, h, places``: the texts as output places, two bytes a token, in shards sorted by ``h``.
+
+    ``learn`` has ``h``, a hash that tells rows apart, and ``text``. Which shard a
+    row is in, and where, follows from ``h`` alone. Written to the shared folder, so
+    texts are taken apart once for all rounds.
+    """
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        places = _Places(sent.value)
+        for batch in batches:
+            get = places.__getitem__
+            found = []
+            for text in _texts(batch.column(1)):
+                words = tokens_of(text)
+                found.append(np.fromiter(map(get, words), np.uint16, len(words)).tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], names=["h", "places"])
+
+    rows = learn.select("h", "text").mapInArrow(run, "h long, places binary")
+    rows = rows.withColumn("shard", F.pmod("h", F.lit(shards)).cast("int"))
+    return materialize(rows.repartition(shards, "shard").sortWithinPartitions("shard", "h"))
 
 
 def targets(starts: np.ndarray, size: int, number: int, rounds: int) -> np.ndarray:
@@ -222,66 +272,83 @@ def targets(starts: np.ndarray, size: int, number: int, rounds: int) -> np.ndarr
     return np.flatnonzero((np.arange(size) - np.repeat(starts, lengths)) % rounds == number)
 
 
-def train(docs: DataFrame, vocab: Vocabulary, width: int = 32, rounds: int = 3, batch: int = 1024) -> LogBilinear:
-    """Train on all tokens of ``docs``, dealt over ``rounds`` by their places in their texts.
+def _added(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sums of ``seen`` and ``part`` by ``block``."""
+    sums: dict[int, list] = {}
+    for b in batches:
+        for block, seen, part in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
+            held = sums.setdefault(block, [0, 0.0])
+            held[0] += seen
+            held[1] = held[1] + np.frombuffer(part, np.float64)
+    blocks = sorted(sums)
+    yield pa.RecordBatch.from_arrays(
+        [
+            pa.array(blocks, pa.int32()),
+            pa.array([sums[k][0] for k in blocks], pa.int64()),
+            pa.array([sums[k][1].tobytes() for k in blocks], pa.binary()),
+        ],
+        names=["block", "seen", "part"],
+    )
+
+
+def train(numbers: DataFrame, vocab: Vocabulary, width: int = 32, rounds: int = 3, batch: int = 1024) -> LogBilinear:
+    """Train on all tokens of ``numbers`` (see :func:`numbered`), dealt over ``rounds`` by their places in their texts.
 
-    In a round each task starts from the same parameters, trains on the tokens
-    it reads and gives its parameters, in blocks; blocks are averaged by tasks,
-    so what moves grows with the number of tasks and the driver gets one model.
-    The model depends a little on how the table is split into tasks.
+    In a round each shard starts from the same parameters and trains on its tokens;
+    a task adds up its shards' parameters, in blocks, which are summed in two steps,
+    so the driver gets one model. The model does not depend on how tables are split.
     """
-    model = LogBilinear.start(vocab.share, width)
+    model = LogBilinear.start(vocab.share, vocab.contexts, width)
     if not vocab.total:
         return model
-    spark = docs.sparkSession
-    short, end = vocab.short, vocab.end
+    spark = numbers.sparkSession
+    schema = "block int, seen long, part binary"
     for number in range(rounds):
-        sent = spark.sparkContext.broadcast((vocab.words[:short], vocab.share, model))
+        sent = spark.sparkContext.broadcast((vocab.share, vocab.context, vocab.end, model))
 
         def run(batches: Iterable[pa.RecordBatch], sent=sent, number=number) -> Iterator[pa.RecordBatch]:
-            words, share, start = sent.value
-            places = {w: i for i, w in enumerate(words)}
-            own = start.filled(start.flat())
-            trainer = Trainer(own, share, rate=0.1 / (1 + number), seed=number)
-            seen = 0
-            texts = (t for b in batches for t in _texts(b.column(0)))
-            for numbers, starts, _ in _numbered(texts, places, 200_000):
-                numbers = np.where(numbers < 0, short, numbers)
-                u, v = contexts(numbers, starts, end)
-                at = targets(starts, len(numbers), number, rounds)
+            share, context, end, start = sent.value
+            total, seen = 0.0, 0
+            shard, trainer, held, size, more = None, None, [], 0, 0
+
+            def learn() -> int:
+                nonlocal held, size
+                out = np.concatenate(held).astype(np.int64) if held else np.zeros(0, np.int64)
+                starts = np.cumsum([0, *map(len, held[:-1])])
+                held, size = [], 0
+                u, v = contexts(context[out], starts, context[end])
+                at = targets(starts, len(out), number, rounds) if len(out) else out
                 trainer.rng.shuffle(at)
                 for i in range(0, len(at), batch):
                     k = at[i : i + batch]
-                    trainer.step(u[k], v[k], numbers[k])
-                seen += len(at)
+                    trainer.step(u[k], v[k], out[k])
+                return len(at)
+
+            for b in batches:
+                for own, places in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                    if own != shard:
+                        if trainer is not None:
+                            more += learn()
+                            total, seen, more = total + trainer.m.flat() * more, seen + more, 0
+                        shard, trainer = own, Trainer(start.filled(start.flat()), share, rate=0.1 / (1 + number), seed=number)
+                    held.append(np.frombuffer(places.as_buffer(), np.uint16))
+                    size += len(held[-1])
+                    if size >= 200_000:
+                        more += learn()
+            if trainer is not None:
+                more += learn()
+                total, seen = total + trainer.m.flat() * more, seen + more
             if seen:
-                parts = np.array_split(own.flat() * seen, _BLOCKS)
+                parts = np.array_split(total, _BLOCKS)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(range(_BLOCKS), pa.int32()), pa.array([seen] * _BLOCKS, pa.int64()), pa.array([p.tobytes() for p in parts], pa.binary())],
                     names=["block", "seen", "part"],
                 )
 
-        def add(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            sums: dict[int, list] = {}
-            for b in batches:
-                for block, seen, part in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
-                    part = np.frombuffer(part, np.float64)
-                    if block in sums:
-                        sums[block] = [sums[block][0] + seen, sums[block][1] + part]
-                    else:
-                        sums[block] = [seen, part]
-            blocks = sorted(sums)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(blocks, pa.int32()),
-                    pa.array([sums[k][0] for k in blocks], pa.int64()),
-                    pa.array([sums[k][1].tobytes() for k in blocks], pa.binary()),
-                ],
-                names=["block", "seen", "part"],
-            )
-
-        schema = "block int, seen long, part binary"
-        trained = docs.select("text").mapInArrow(run, schema).repartition(_BLOCKS, "block").mapInArrow(add, schema)
+        trained = numbers.select("shard", "places").mapInArrow(run, schema)
+        for salts in (_BLOCKS, 1):  # task by task first, so that no task adds up all of them
+            salt = F.pmod(F.spark_partition_id(), F.lit(salts))
+            trained = trained.withColumn("salt", salt).repartition(_BLOCKS * salts, "block", "salt").drop("salt").mapInArrow(_added, schema)
         rows = sorted(trained.collect(), key=lambda r: r.block)
         sent.unpersist()
         if not rows:
@@ -303,25 +370,33 @@ def _scores(sent, base_log: float):
         if key not in _TABLES:  # one model at a time in a worker
             _TABLES.clear()
             _TABLES[key] = ({w: i for i, w in enumerate(vocab.words)}, model.tables())
-        places, (t1, t2, log_z) = _TABLES[key]
-        short, end = vocab.short, vocab.end
-        # By number; the last place (-1) is for words that are not common.
+        ranks, (t1, t2, log_z) = _TABLES[key]
+        get, end = ranks.get, vocab.context[vocab.end]
+        # By rank; the last (-1) is for words that are not common.
         log_base = np.append(np.log10(vocab.counts + 1.0) - base_log, 0.0)
-        log_share = np.append(np.log10(vocab.counts + 1.0) - np.log10(vocab.rest), 0.0)
-        log_share[:short] = 0.0
+        log_count = np.append(np.log10(vocab.counts + 1.0), 0.0)
+        log_count[: vocab.short] = 0.0
+        # By place: what a class's counts are divided by.
+        log_rest = np.append(np.zeros(vocab.short), np.log10(vocab.rest))
         for column in batches:
-            out: list[tuple] = []
+            out: list[list[np.ndarray]] = []
             others: list[list[dict]] = []
-            for numbers, starts, group in _numbered(_texts(column), places, 200_000):
-                known = numbers >= 0
-                place = np.where(known & (numbers < short), numbers, short)
-                u, v = contexts(place, starts, end)
-                log_p = (t1[u, place] + t2[v, place] - log_z[u, v]).astype(float) / np.log(10) + log_share[numbers]
-                sums = [np.add.reduceat(x, starts) for x in (np.ones(len(numbers), np.int64), known.astype(np.int64), log_base[numbers], log_p)]
-                out.append(sums)
-                for words in group:
-                    rare = Counter(w for w in words if w not in places)
-                    others.append([{"token": w, "n": n} for w, n in rare.items()])
+            for group, starts in _groups(_texts(column), 200_000):
+                words = [w for text in group for w in text]
+                rank = np.fromiter((get(w, -1) for w in words), np.int64, len(words))
+                known = rank >= 0
+                place = vocab.places[rank] if len(vocab.words) else np.zeros(len(words), np.int64)
+                rare = np.flatnonzero(~known)
+                place[rare] = [vocab.place(words[i]) for i in rare.tolist()]
+                u, v = contexts(vocab.context[place], starts, end)
+                log_p = (t1[u, place] + t2[v, place] - log_z[u, v]).astype(float) / np.log(10) + log_count[rank] - log_rest[place]
+                out.append([np.add.reduceat(x, starts) for x in (np.ones(len(words), np.int64), known.astype(np.int64), log_base[rank], log_p)])
+                ends = np.searchsorted(rare, np.append(starts[1:], len(words))).tolist()
+                at = 0
+                for e in ends:
+                    counted = Counter(words[i] for i in rare[at:e].tolist())
+                    others.append([{"token": w, "n": n} for w, n in counted.items()])
+                    at = e
             if not out:
                 out.append([np.zeros(0, np.int64)] * 2 + [np.zeros(0)] * 2)
             arrays = [pa.array(np.concatenate([g[i] for g in out])) for i in range(4)]
@@ -332,23 +407,28 @@ def _scores(sent, base_log: float):
     return run
 
 
-def lm_scores(docs: DataFrame, short: int = 1023, common: int = 200_000, width: int = 32, rounds: int = 3) -> DataFrame:
+def lm_scores(docs: DataFrame, short: int = 4096, classes: int = 4096, common: int = 200_000, width: int = 32, rounds: int = 3) -> DataFrame:
     """Base and model log10 probabilities of every document.
 
     Returns ``doc_id, held_out, n_tokens, n_known, train_tokens, base_score,
     score``. Learns from documents whose crc32 of the id's text modulo 7 is not
     2 (``held_out``: it is 2). A null or empty text is its end alone. Counts are
     over all training texts and whole; the ``common`` commonest words are
-    broadcast, the others meet their counts in a join. Without training texts
-    every token is unknown. Repeated rows are scored alike; an empty table gives
-    an empty one; other columns are not used.
+    broadcast, the others meet their counts in a join. The ``short`` commonest have
+    places of their own in the model, all others one of ``classes`` (together under
+    65,536). Without training texts every token is unknown. Repeated rows are scored
+    alike; an empty table gives an empty one; other columns are not used.
     """
     spark = docs.sparkSession
     held = crc_mod(F.col("doc_id"), 7) == 2
-    learn = docs.where(~held).select("text")
+    part, place = fresh(docs, "_part"), fresh(docs, "_place")
+    learn = read_order(docs, part, place).where(~held).select(F.xxhash64(place, "doc_id", "text").alias("h"), "text")
     counts = materialize(token_counts(learn))
-    vocab = vocabulary(counts, short, common)
-    model = train(learn, vocab, width, rounds)
+    vocab = vocabulary(counts, short, classes, common)
+    words = spark.sparkContext.broadcast(vocab)
+    numbers = numbered(learn, words, max(1, -(-vocab.total // SHARD)))
+    model = train(numbers, vocab, width, rounds)
+    words.unpersist()
     base_log = float(np.log10(vocab.total + vocab.distinct + 1.0))
     sent = spark.sparkContext.broadcast((vocab, model, hash(model.flat().tobytes())))
     scored = docs.select("doc_id", held.alias("held_out"), _scores(sent, base_log)("text").alias("s"))
@@ -362,7 +442,7 @@ def lm_scores(docs: DataFrame, short: int = 1023, common: int = 200_000, width:
         .agg(
             F.sum(F.when(F.col("c") > 0, n).otherwise(0)).alias("known"),
             F.sum(n * (log(F.col("c")) - base_log)).alias("base_more"),
-            F.sum(n * (log(F.col("c")) - float(np.log10(vocab.rest)))).alias("score_more"),
+            F.sum(n * log(F.col("c"))).alias("score_more"),
         )
         .withColumnRenamed("rid", "r")
     )

@@ -10,6 +10,7 @@ the overlap of their dictionaries, which is how well one compresses the other.
 from __future__ import annotations
 
 import hashlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -145,20 +146,34 @@ def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield flush()
 
 
-def _stretch(bounds: list[int]):
-    """The number of a row's stretch: 0 for the largest ids, null ids in the last."""
+def _stretch(cuts: list[int], heavy: list[int], nulls: int):
+    """The number of a row's stretch, along falling ids, and its rows' hashes where an id is heavy.
+
+    ``cuts`` are falling ids that end a stretch; the rows of the ``i``-th have
+    ``heavy[i]`` stretches of their own, by ranges of hashes, if that is not 0. Null ids
+    have the last ``nulls`` stretches.
+    """
+    base = np.cumsum([0, *[1 + h for h in heavy]])
+
+    def ranged(hashes: np.ndarray, n) -> np.ndarray:
+        return np.minimum(np.floor((hashes / 2.0**64 + 0.5) * n).astype(np.int64), np.maximum(n, 1) - 1)
 
     @F.arrow_udf("int")
-    def find(ids: pa.Array) -> pa.Array:
+    def find(ids: pa.Array, hashes: pa.Array) -> pa.Array:
         known = ids.is_valid().to_numpy(zero_copy_only=False)
         values = ids.fill_null(0).to_numpy(zero_copy_only=False)
-        above = len(bounds) - np.searchsorted(np.array(bounds, np.int64), values, side="right")
-        return pa.array(np.where(known, above, len(bounds) + 1).astype(np.int32))
+        h = hashes.to_numpy(zero_copy_only=False)
+        rising = np.array(cuts[::-1], np.int64)
+        at = len(cuts) - np.searchsorted(rising, values, side="right")
+        own = np.append(np.array(heavy, np.int64), 0)[at] if len(cuts) else np.zeros(len(values), np.int64)
+        on_cut = (own > 0) & (np.append(np.array(cuts, np.int64), 0)[at] == values)
+        out = base[at] + np.where(on_cut, 1 + ranged(h, np.maximum(own, 1)), 0)
+        return pa.array(np.where(known, out, base[-1] + 1 + ranged(h, nulls)).astype(np.int32))
 
-    return find
+    return find, int(base[-1]) + 1 + nulls
 
 
-def lz_fingerprints(docs: DataFrame, stretches: int | None = None) -> DataFrame:
+def lz_fingerprints(docs: DataFrame, stretches: int | None = None, stretch_bytes: int = 128 << 20) -> DataFrame:
     """Fingerprints of every text and of its edited text.
 
     Returns ``doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint,
@@ -170,32 +185,34 @@ def lz_fingerprints(docs: DataFrame, stretches: int | None = None) -> DataFrame:
     fingerprints; texts without phrases have empty ones and are alike. An empty
     table gives an empty one; other columns are not used.
 
-    Ids are cut into stretches at quantiles (a bounded list of bounds). Texts
-    move once, to their stretch; each stretch also gets one guest, the first row
-    of the next one, so no other order over all rows is needed.
+    Ids are cut into stretches of about ``stretch_bytes`` at quantiles (a bounded list
+    of bounds); an id that is many quantiles, and null ids, are cut by their rows'
+    hashes. Texts move once, to their stretch, where rows are taken one after
+    another; each stretch also gets one guest, the first row of the next one, so no
+    other order over all rows is needed.
     """
     spark = docs.sparkSession
-    n = stretches or max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("h"))
+    sizes = rows.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("doc_id").isNull()).alias("nulls"), F.sum(F.octet_length("text")).alias("bytes")).first()
+    n = stretches or max(1, int(spark.conf.get("spark.sql.shuffle.partitions")), -(-(sizes.bytes or 0) // stretch_bytes))
     parts = [i / n for i in range(1, n)]
-    bounds = ids.agg(F.percentile_approx("doc_id", parts, 10_000)).first()[0] if parts else []
-    bounds = sorted(set(bounds or []))
-    find = _stretch(bounds)
-    tops = ids.groupBy(find("doc_id").alias("s")).agg(F.max("doc_id").alias("top")).collect()
+    bounds = rows.agg(F.percentile_approx("doc_id", parts, 10_000)).first()[0] if parts else []
+    times = Counter(bounds or [])
+    cuts = sorted(times, reverse=True)
+    find, count = _stretch(cuts, [times[c] if times[c] > 1 else 0 for c in cuts], max(1, round(n * sizes.nulls / max(1, sizes.n))))
+    order = F.struct(F.col("doc_id").isNull().alias("no_id"), F.bitwise_not("doc_id").alias("falling"), "h")
+    tops = rows.groupBy(find("doc_id", "h").alias("s")).agg(F.min(F.struct(order.alias("order"), "doc_id", "h")).alias("top")).select("s", "top.doc_id", "top.h").collect()
     tops.sort(key=lambda r: r.s)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    dealt = rows.select(find("doc_id").alias("stretch"), F.lit(False).alias("guest"), "doc_id", "text")
+    dealt = rows.select(find("doc_id", "h").alias("stretch"), F.lit(False).alias("guest"), "doc_id", "text", "h")
     if tops:
-        after = [(a.s, b.top) for a, b in zip(tops, tops[1:] + tops[:1], strict=True)]
-        wanted = F.broadcast(spark.createDataFrame(after, "stretch int, top long"))
+        after = [(a.s, b.doc_id, b.h) for a, b in zip(tops, tops[1:] + tops[:1], strict=True)]
+        wanted = F.broadcast(spark.createDataFrame(after, "stretch int, top long, top_h long"))
         guests = (
-            rows.join(wanted, F.col("doc_id").eqNullSafe(F.col("top")))
+            rows.join(wanted, F.col("doc_id").eqNullSafe(F.col("top")) & (F.col("h") == F.col("top_h")))
             .groupBy("stretch")
-            .agg(F.min_by(F.struct("doc_id", "text"), F.xxhash64("text")).alias("g"))
-            .select("stretch", F.lit(True).alias("guest"), "g.doc_id", "g.text")
+            .agg(F.first(F.struct("doc_id", "text", "h")).alias("g"))
+            .select("stretch", F.lit(True).alias("guest"), "g.doc_id", "g.text", "g.h")
         )
         dealt = dealt.unionByName(guests)
-    sorted_rows = dealt.repartitionById(len(bounds) + 2, F.col("stretch")).sortWithinPartitions(
-        "stretch", "guest", F.col("doc_id").desc_nulls_last(), F.xxhash64("text")
-    )
-    return sorted_rows.mapInArrow(_rows, SCHEMA)
+    sorted_rows = dealt.repartitionById(count, F.col("stretch")).sortWithinPartitions("stretch", "guest", F.col("doc_id").desc_nulls_last(), "h")
+    return sorted_rows.select("stretch", "guest", "doc_id", "text").mapInArrow(_rows, SCHEMA)

@@ -12,7 +12,12 @@ period has as many of its blocks as it has left, and later periods are without
 it: period ``f`` holds ``min(q, blocks - f * q)`` blocks of a source with ``q``
 a period. The distinct compositions are at most twice the number of sources plus
 one; each is scheduled once, by a fold in Spark SQL, and the blocks look their
-slots up. Everything here is DataFrame functions.
+slots up.
+
+More sources than ``fan`` are dealt into groups, by a hash of their names, and
+groups into groups until ``fan`` are left. Each group mixes its own and is one
+source to the level above: its ``j``-th block is the ``j``-th of its mixture.
+Everything here is DataFrame functions.
 """
 
 from __future__ import annotations
@@ -20,39 +25,72 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewright.llm.common import distributed_rank, fresh, salts_for
+from tidewright.llm.common import distributed_rank, fresh, materialize, salts_for
 
-#: The fold over one period: takes the sources' block counts ``c`` in a
-#: composition, gives for each slot the index of its source.
-_EDF = """
+#: The fold over one period: takes the sources' block counts ``c`` in a composition and their
+#: sum ``total``, gives for each slot the index of its source. A source's state is the number
+#: of its next block with that one's release and deadline, so a slot only compares.
+_NEXT = "named_struct('done', {k}, 'r', if({k} < {n}, ({k} * total) div {n}, 1152921504606846976L), 'd', if({k} < {n}, (({k} + 1L) * total + {n} - 1L) div {n}, 0L), 'n', {n})"
+_EDF = f"""
 aggregate(
-  sequence(1, aggregate(c, 0L, (s, x) -> s + x)),
-  named_struct('done', transform(c, x -> 0L), 'slots', cast(array() as array<int>)),
-  (acc, slot) -> named_struct(
-    'done', transform(acc.done, (x, i) -> if(i = {pick}, x + 1L, x)),
-    'slots', concat(acc.slots, array({pick}))
-  ),
+  sequence(0L, total - 1L),
+  named_struct('s', transform(c, n -> {_NEXT.format(k="0L", n="n")}), 'slots', cast(array() as array<int>)),
+  (acc, slot) -> element_at(transform(
+    array(array_min(transform(acc.s, (x, i) -> if(x.r <= slot, named_struct('d', x.d, 'i', i), null))).i),
+    p -> named_struct(
+      's', transform(acc.s, (x, i) -> if(i = p, {_NEXT.format(k="(x.done + 1L)", n="x.n")}, x)),
+      'slots', array_append(acc.slots, p))
+  ), 1),
   acc -> acc.slots
 )
 """
-_PICK = """
-array_min(transform(c, (n, i) -> if(
-  n > acc.done[i] and (acc.done[i] * total) div n <= slot - 1,
-  named_struct('deadline', ((acc.done[i] + 1L) * total + n - 1L) div n, 'i', i), null))).i
-"""
+#: Elements of a schedule that are broadcast at most; larger ones are joined.
+MOST_BROADCAST = 2_000_000
+
+
+def tempered(blocks, alpha: float):
+    """A source's target weight from its size."""
+    return F.pow(blocks.cast("double"), F.lit(alpha))
 
 
-def source_shares(counts: DataFrame, alpha: float = 0.5, period: int = 1000) -> DataFrame:
-    """``source, blocks, q``: a source's blocks in a period of about ``period``.
+def _schedule(units: DataFrame, period: int | None) -> DataFrame:
+    """``parent, unit, q, j, runs``: the slots of every unit's ``j``-th block in a period.
 
-    Target weights are the tempered sizes ``blocks ** alpha``, at least one
-    block a period. ``counts`` has ``source`` and ``blocks``.
+    ``units`` has ``parent, unit, blocks, weight``. A parent's period has about
+    ``period`` blocks, four for each of its units at least; without it weights are
+    blocks a period. ``runs`` has an entry for
+    each run of equal periods: its first and the next one's first, the slot at its
+    start, its length, the unit's blocks in it and the block's slot.
     """
-    tempered = F.pow(F.col("blocks").cast("double"), F.lit(alpha))
-    everything = Window.partitionBy(F.lit(0))
-    return counts.withColumn(
-        "q", F.greatest(F.lit(1), F.round(tempered / F.sum(tempered).over(everything) * period)).cast("long")
+    inside = Window.partitionBy("parent")
+    share = F.col("weight")
+    if period is not None:
+        share = share / F.sum("weight").over(inside) * F.greatest(F.lit(period), 4 * F.count(F.lit(1)).over(inside))
+    shares = units.withColumn("q", F.greatest(F.lit(1), F.round(share)).cast("long")).select("parent", "unit", "blocks", "q")
+
+    # Where compositions change: the first period a unit cannot fill, and the one after.
+    kinds = (
+        shares.groupBy("parent")
+        .agg(F.sort_array(F.collect_list(F.struct("unit", "q", "blocks"))).alias("s"))
+        .select("parent", "s", F.explode(F.expr("array_distinct(concat(array(0L), flatten(transform(s, x -> array(x.blocks div x.q, x.blocks div x.q + 1L)))))")).alias("f"))
+        .repartition(64, "parent", "f")  # the folds are the work
+        .withColumn("c", F.expr("transform(s, x -> greatest(0L, least(x.q, x.blocks - f * x.q)))"))
+        .withColumn("base", F.expr("aggregate(s, 0L, (t, x) -> t + least(x.blocks, f * x.q))"))
+        .withColumn("total", F.expr("aggregate(c, 0L, (s, x) -> s + x)"))
+        .where("total > 0")
+        .withColumn("slots", F.expr(_EDF))
+        .select("parent", "f", "base", "total", "c", "slots", F.expr("transform(s, x -> x.unit)").alias("names"), F.expr("transform(s, x -> x.q)").alias("qs"))
+    )
+    kinds = materialize(kinds)
+    after = F.lead("f").over(Window.partitionBy("parent").orderBy("f"))
+    slots = (
+        kinds.withColumn("f_end", F.coalesce(after, F.lit(1 << 62)))
+        .select("parent", "f", "f_end", "base", "total", "c", "names", "qs", F.posexplode("slots").alias("slot", "i"))
+        .withColumn("j", F.row_number().over(Window.partitionBy("parent", "f", "i").orderBy("slot")) - 1)
+        .select("parent", F.expr("names[i]").alias("unit"), F.expr("qs[i]").alias("q"), "j", F.struct("f", "f_end", "base", "total", F.expr("c[i]").alias("c"), "slot").alias("run"))
     )
+    # One row for each unit and block in a period; a run of equal periods shares it.
+    return slots.groupBy("parent", "unit", "q", "j").agg(F.sort_array(F.collect_list("run")).alias("runs"))
 
 
 def mix(
@@ -61,7 +99,7 @@ def mix(
     block: int = 4,
     alpha: float = 0.5,
     period: int = 1000,
-    max_sources: int = 256,
+    fan: int = 256,
 ) -> DataFrame:
     """Interleave the sources of ``docs`` to target weights.
 
@@ -74,85 +112,94 @@ def mix(
     of their own. ``weights`` gives blocks a period by source (1 for sources it
     leaves out); without it they are tempered sizes. Rows with equal ids and
     texts are told apart arbitrarily. An empty table stays empty. Columns of
-    ``docs`` with these names are replaced. More sources than ``max_sources``
-    raise ValueError, since a period must have room for each.
+    ``docs`` with these names, in any case, are replaced; others stay as they are.
+
+    With more sources than ``fan`` there are levels of groups: a source is then
+    within one block of its share of its group, and so on up; release and
+    deadline are those of the block of its topmost group.
     """
     made = {"mix_source", "mix_block", "mix_slot", "mix_offset", "mix_release", "mix_deadline", "mix_weight"}
     docs = docs.drop(*[c for c in docs.columns if c.lower() in made])
-    src, rank = fresh(docs, "_src"), fresh(docs, "_rank")
-    keyed = docs.withColumn(src, F.col("source").cast("string"))
-    counts = keyed.groupBy(src).agg(F.ceil(F.count(F.lit(1)) / F.lit(block)).alias("blocks"))
-    counts = counts.select(F.col(src).alias("source"), F.col("blocks").cast("long"))
-    if weights is None:
-        shares = source_shares(counts, alpha, period)
-    else:
-        given = F.lit(1)
+    src, rank, none, got = (fresh(docs, x) for x in ("_src", "_rank", "_none", "_got"))
+    names = [F.col(f"`{c}`") for c in docs.columns]
+    # A null source as a value, so that joins are by plain equality.
+    keyed = docs.withColumn(none, F.col("source").isNull()).withColumn(src, F.coalesce(F.col("source").cast("string"), F.lit("")))
+    counts = keyed.groupBy(src, none).agg(F.ceil(F.count(F.lit(1)) / F.lit(block)).cast("long").alias("blocks"))
+    weight = tempered(F.col("blocks"), alpha)
+    if weights is not None:
+        weight = F.lit(1.0)
         for name, q in sorted(weights.items()):
-            given = F.when(F.col("source") == name, F.lit(max(1, int(q)))).otherwise(given)
-        shares = counts.withColumn("q", given.cast("long"))
-    shares = shares.withColumn("i", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("source")) - 1)
-    sizes = counts.limit(max_sources + 1).collect()
-    if len(sizes) > max_sources:
-        raise ValueError(f"a period has room for {max_sources} sources; there are more")
-
-    # Where compositions change: the first period a source cannot fill, and the one after.
-    kinds = (
-        shares.agg(F.sort_array(F.collect_list(F.struct("i", "q", "blocks"))).alias("s"))
-        .select(
-            "s",
-            F.explode(
-                F.expr(
-                    "array_distinct(concat(array(0L), flatten(transform(s, x ->"
-                    " array(x.blocks div x.q, x.blocks div x.q + 1L)))))"
-                )
-            ).alias("f"),
-        )
-        .select(
-            "f",
-            F.expr("transform(s, x -> greatest(0L, least(x.q, x.blocks - f * x.q)))").alias("c"),
-            F.expr("aggregate(s, 0L, (t, x) -> t + least(x.blocks, f * x.q))").alias("base"),
-        )
-        .withColumn("total", F.expr("aggregate(c, 0L, (s, x) -> s + x)"))
-        .where("total > 0")
-    )
-    after = F.lead("f").over(Window.partitionBy(F.lit(0)).orderBy("f"))
-    slots = (
-        kinds.withColumn("f_end", F.coalesce(after, F.lit(1 << 62)))
-        .withColumn("slots", F.expr(_EDF.format(pick=_PICK)))
-        .select("f", "f_end", "base", "total", "c", F.posexplode("slots").alias("slot", "i"))
-        .withColumn("j", F.row_number().over(Window.partitionBy("f", "i").orderBy("slot")) - 1)
-        .withColumn("c", F.expr("c[i]"))
-    )
-    slots = slots.join(shares.select("i", F.col("source").alias("mix_source"), "q"), "i")
-    # One row for each source, composition and block in it; a run of equal periods shares them.
-    runs = slots.groupBy("mix_source", "q", "j").agg(
-        F.sort_array(F.collect_list(F.struct("f", "f_end", "base", "total", "c", "slot"))).alias("runs")
-    )
+            weight = F.when((F.col(src) == name) & ~F.col(none), F.lit(float(max(1, int(q))))).otherwise(weight)
+    sources = counts.select(F.struct(F.col(none).alias("none"), F.col(src).alias("name")).alias("unit"), "blocks", weight.alias("weight"))
+    sources = materialize(sources)
+    seen = sources.agg(F.count(F.lit(1)).alias("n"), F.max("blocks").alias("most")).first()
+    n, most = seen.n, seen.most or 0
+
+    # From the sources up: each level's units with their parents, until one parent has all.
+    levels, units = [], sources
+    while True:
+        groups = 1 if n <= fan else -(-n * 2 // fan)
+        key = F.lit(0).cast("long") if groups == 1 else F.pmod(F.xxhash64("unit", F.lit(len(levels))), F.lit(groups)).cast("long")
+        named = units.withColumn("parent", key)
+        levels.append(named)
+        if groups == 1:
+            break
+        units = materialize(named.groupBy(F.col("parent").alias("unit")).agg(F.sum("blocks").alias("blocks"), F.sum("weight").alias("weight")))
+        n = units.count()
 
     salt = [F.col(c) for c in docs.columns if c in ("doc_id", "text", "n_chars")] or [F.lit(0)]
     order = [F.col(c).asc_nulls_last() for c in docs.columns if c in ("doc_id",)] or [F.lit(0)]
-    ranked = distributed_rank(keyed, [src], order, salt, rank, salts_for(block * max((r.blocks for r in sizes), default=0)))
-    q = shares.select(F.col("source").alias("q_source"), F.col("q").alias("q_of"))
-    placed = (
-        ranked.join(F.broadcast(q), F.col(src).eqNullSafe(F.col("q_source")))
-        .withColumn("mix_block", F.expr(f"{rank} div {block}"))
-        .withColumn("mix_offset", F.expr(f"{rank} % {block}").cast("int"))
-        .withColumn("_period", F.expr("mix_block div q_of"))
-        .withColumn("_j", F.expr("mix_block % q_of"))
-        .join(
-            F.broadcast(runs),
-            F.col(src).eqNullSafe(F.col("mix_source")) & (F.col("_j") == F.col("j")),
-        )
-        .withColumn("_run", F.expr("filter(runs, r -> r.f <= _period and _period < r.f_end)[0]"))
-        .withColumn("_at", F.expr("_run.base + (_period - _run.f) * _run.total"))
+    placed = distributed_rank(keyed, [src, none], order, salt, rank, salts_for(block * most))
+    state = F.struct(
+        F.struct(F.col(none).alias("none"), F.col(src).alias("name")).alias("source"),
+        F.expr(f"`{rank}` div {block}").cast("long").alias("number"),
+        F.expr(f"`{rank}` % {block}").cast("int").alias("offset"),
+        F.lit(1.0).alias("weight"),
+        F.lit(None).cast("long").alias("release"),
+        F.lit(None).cast("long").alias("deadline"),
     )
+    placed = placed.select(*names, state.alias(got))
+    unit, block_at = fresh(docs, "_unit"), fresh(docs, "_at")
+    placed = placed.withColumn(unit, F.col(f"{got}.source")).withColumn(block_at, F.col(f"{got}.number"))
+    for number, level in enumerate(levels):
+        placed = _looked_up(placed, names, level, period if weights is None or number else None, got, unit, block_at)
+    g = lambda c: F.col(f"{got}.{c}")
     return placed.select(
-        *[F.col(c) for c in docs.columns],
-        "mix_source",
-        F.col("mix_block").cast("long").alias("mix_block"),
-        (F.col("_at") + F.col("_run.slot")).cast("long").alias("mix_slot"),
-        "mix_offset",
-        (F.col("_at") + F.expr("(_j * _run.total) div _run.c")).cast("long").alias("mix_release"),
-        (F.col("_at") + F.expr("((_j + 1) * _run.total + _run.c - 1) div _run.c")).cast("long").alias("mix_deadline"),
-        (F.col("_run.c") / F.col("_run.total")).alias("mix_weight"),
+        *names,
+        F.when(~g("source.none"), g("source.name")).alias("mix_source"),
+        g("number").alias("mix_block"),
+        F.col(block_at).alias("mix_slot"),
+        g("offset").alias("mix_offset"),
+        g("release").alias("mix_release"),
+        g("deadline").alias("mix_deadline"),
+        g("weight").alias("mix_weight"),
+    )
+
+
+def _looked_up(placed: DataFrame, names: list, units: DataFrame, period: int | None, got: str, unit: str, block_at: str) -> DataFrame:
+    """Blocks of units become blocks of their parents, by the parents' schedules.
+
+    The schedule is broadcast if it is small (``MOST_BROADCAST``), else joined.
+    """
+    q, entry, run, at = (fresh(placed, x) for x in ("_q", "_runs", "_run", "_start"))
+    unit_of, q_of, j_of, parent = (fresh(placed, x) for x in ("_unit_of", "_q_of", "_j_of", "_parent"))
+    schedule = materialize(_schedule(units, period))
+    schedule = schedule.select(F.col("unit").alias(unit_of), F.col("q").alias(q_of), F.col("j").cast("long").alias(j_of), F.col("parent").alias(parent), F.col("runs").alias(entry))
+    small = (schedule.agg(F.sum(F.size(entry))).first()[0] or 0) <= MOST_BROADCAST
+    sized = schedule.where(F.col(j_of) == 0).select(F.col(unit_of).alias(run), F.col(q_of).alias(q))
+    ready = F.broadcast if small else (lambda df: df)
+    joined = placed.join(ready(sized), F.col(unit) == F.col(run)).drop(run)
+    joined = joined.join(ready(schedule), (F.col(unit) == F.col(unit_of)) & (F.expr(f"`{block_at}` % `{q}`") == F.col(j_of)))
+    # The run that the block's period is in, and the slot at the period's start.
+    joined = joined.withColumn(run, F.expr(f"filter(`{entry}`, r -> r.f <= `{block_at}` div `{q}` and `{block_at}` div `{q}` < r.f_end)[0]"))
+    joined = joined.withColumn(at, F.expr(f"`{run}`.base + (`{block_at}` div `{q}` - `{run}`.f) * `{run}`.total"))
+    c, total = F.col(f"{run}.c"), F.col(f"{run}.total")
+    state = F.struct(
+        F.col(f"{got}.source").alias("source"),
+        F.col(f"{got}.number").alias("number"),
+        F.col(f"{got}.offset").alias("offset"),
+        (F.col(f"{got}.weight") * c / total).alias("weight"),
+        (F.col(at) + F.expr(f"(`{j_of}` * `{run}`.total) div `{run}`.c")).cast("long").alias("release"),
+        (F.col(at) + F.expr(f"((`{j_of}` + 1) * `{run}`.total + `{run}`.c - 1) div `{run}`.c")).cast("long").alias("deadline"),
     )
+    return joined.select(*names, state.alias(got), F.col(parent).alias(unit), (F.col(at) + F.col(f"{run}.slot")).cast("long").alias(block_at))

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import math
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewright.llm.common import by_bytes, text_bytes
+from tidewright.llm.common import by_bytes, materialize, text_bytes
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -57,28 +59,47 @@ def presence_blocks(
             yield presence(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], sizes, bits, lower)
 
 
-def class_sample(rows: DataFrame, label: str, per_class: int, seed: int, classes: int = 200) -> DataFrame:
-    """At most ``per_class`` ids of each of the commonest ``classes`` labels.
+def class_sample(docs: DataFrame, rows: DataFrame, label: str, per_class: int, most: int, seed: int, sizes: tuple[int, ...], bits: int, lower: bool) -> tuple[np.ndarray, list]:
+    """Packed presence rows and labels of a bounded sample of labelled texts, in a fixed order.
 
-    Chosen by a hash of the id, so the same rows are chosen however the table is
-    dealt. Labels are counted first; then all but about ``8 * per_class`` ids of
-    a label, those of the largest hashes, are left out by a filter, so what is
-    ranked does not grow with the table.
+    ``rows`` has ``doc_id`` and ``label``; ``docs`` the texts. ``per_class`` ids of each
+    label are taken, fewer (but of every label) if that were over ``most`` in all: those
+    with the smallest hashes, so the same ones however the tables are dealt. A
+    bound on the hash, a little above what is needed, leaves the others out in one
+    filter; nothing is ranked. An id that has several labels has its smallest,
+    and one that has several texts that with the smallest hash. Texts become presence
+    bits inside Spark, so what the driver gets is bounded in bytes, however long the
+    texts are.
     """
-    ids = rows.select("doc_id", label).where(F.col("doc_id").isNotNull() & F.col(label).isNotNull())
-    ids = ids.withColumn("_h", F.xxhash64("doc_id", F.lit(seed))).withColumn("_u", F.pmod("_h", F.lit(1 << 40)))
-    common = ids.groupBy(F.col(label).alias("_l")).agg(F.count(F.lit(1)).alias("_n")).orderBy(F.desc("_n"), "_l").limit(classes)
-    near = ids.join(F.broadcast(common), F.col(label) == F.col("_l")).where(F.col("_u").cast("double") * F.col("_n") < 8 * per_class * float(1 << 40))
-    rank = F.row_number().over(Window.partitionBy(label).orderBy("_u", "_h", "doc_id"))
-    return near.withColumn("_r", rank).where(F.col("_r") <= per_class).select("doc_id", label, "_h")
-
-
-def sample_texts(docs: DataFrame, ids: DataFrame, label: str, most: int) -> tuple[list[str], list]:
-    """The whole texts and labels of a bounded sample of ids, in a fixed order."""
-    picked = docs.select(F.col("doc_id").alias("_d"), "text").join(F.broadcast(ids.distinct()), F.col("_d") == F.col("doc_id"))
-    rows = picked.select("_h", "doc_id", "text", label).limit(most).collect()
-    rows.sort(key=lambda r: (r["_h"], r["doc_id"], r["text"] or ""))
-    return [r["text"] or "" for r in rows], [r[label] for r in rows]
+    ids = rows.select("doc_id", F.col(label).alias("_l")).where("doc_id is not null and _l is not null").groupBy("doc_id").agg(F.min("_l").alias("_l"))
+    ids = materialize(ids.withColumn("_h", F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << 40))))
+    sizes_of = ids.groupBy("_l").agg(F.count(F.lit(1)).alias("n"))
+    classes = sizes_of.count()
+    if not classes:
+        return np.zeros((0, (1 << bits) // 8), np.uint8), []
+    each = max(1, min(per_class, most // classes))
+    some = float(each + 10 + 8 * math.isqrt(each))  # enough ids lie under the bound, but for a chance in billions
+    wanted = sizes_of.select(F.col("_l").alias("_k"), "n")
+    near = ids.join(F.broadcast(wanted), F.col("_l") == F.col("_k")).where(F.col("_h").cast("double") * F.col("n") < some * float(1 << 40))
+    near = near.select(F.col("doc_id").alias("_d"), "_l", "_h")
+    picked = docs.select("doc_id", "text").join(F.broadcast(near), F.col("doc_id") == F.col("_d"))
+    picked = picked.groupBy("_h", "doc_id", "_l").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+
+    @F.arrow_udf("binary")
+    def packed(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for column in batches:
+            found = [np.packbits(block, axis=1) for block in presence_blocks(column, sizes, bits, lower)]
+            yield pa.array([row.tobytes() for block in found for row in block], pa.binary())
+
+    got = sorted(picked.select("_h", "doc_id", "_l", packed("text").alias("grams")).collect(), key=lambda r: (r["_h"], r["doc_id"]))
+    taken: Counter = Counter()
+    kept = []
+    for r in got:
+        taken[r["_l"]] += 1
+        if taken[r["_l"]] <= each:
+            kept.append(r)
+    grams = np.frombuffer(b"".join(r["grams"] for r in kept), np.uint8).reshape(len(kept), (1 << bits) // 8)
+    return grams, [r["_l"] for r in kept]
 
 
 def has_letter(text: Column) -> Column:

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewright.llm.common import crc_mod
-from tidewright.llm.ngrams import class_sample, presence_blocks, sample_texts
+from tidewright.llm.ngrams import class_sample, presence_blocks
 
 SIZES, BITS = (1, 2, 3, 4), 16
 
@@ -74,12 +74,12 @@ def _logistic(margin: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return (max(float(theta[0]), 1e-3), float(theta[1]))
 
 
-def fit(texts: list[str], labels: list[int], cost: float = 1.0) -> NbSvm | None:
-    """Fit on a bounded sample; None unless there are both classes."""
+def fit(packed: np.ndarray, labels: list[int], cost: float = 1.0) -> NbSvm | None:
+    """Fit on a bounded sample of packed presence rows; None unless there are both classes."""
     y = np.array([1 if x == 1 else 0 for x in labels])
     if len(set(y.tolist())) < 2:
         return None
-    rows = [np.flatnonzero(r) for b in presence_blocks(pa.array(texts, pa.string()), SIZES, BITS, lower=False) for r in b]
+    rows = [np.flatnonzero(np.unpackbits(r)) for r in packed]
     size = 1 << BITS
 
     def model(use: np.ndarray) -> tuple[np.ndarray, float]:
@@ -102,9 +102,7 @@ def fit(texts: list[str], labels: list[int], cost: float = 1.0) -> NbSvm | None:
 def train(docs: DataFrame, labels: DataFrame, learn: Column, label: str = "quality", per_class: int = 1500) -> NbSvm | None:
     """Fit on at most ``per_class`` whole labelled texts of each class."""
     rows = labels.where(learn & F.col(label).isin(0, 1)).select("doc_id", label)
-    ids = class_sample(rows, label, per_class, seed=9)
-    texts, values = sample_texts(docs, ids, label, most=8 * per_class)
-    return fit(texts, values)
+    return fit(*class_sample(docs, rows, label, per_class, 2 * per_class, seed=9, sizes=SIZES, bits=BITS, lower=False))
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, per_class: int = 1500) -> DataFrame:
@@ -114,8 +112,10 @@ def quality_scores(docs: DataFrame, labels: DataFrame, per_class: int = 1500) ->
     from labels whose crc32 of the id's text modulo 3 is not 1 (a bounded sample
     of ``per_class`` a class). A null text is the empty text and is scored as
     such. Labels other than 0 and 1, and labels without a document, are not
-    used. Without labels of both classes every score is 0.5. One narrow pass
-    over the texts; rows stay as they are.
+    used; of an id with several labels the smallest is. Without labels of both
+    classes every score is 0.5. One narrow pass over the texts; rows stay as they
+    are, repeated rows too; an empty table gives an empty one; other columns of
+    either table are not used.
     """
     held = crc_mod(F.col("doc_id"), 3) == 1
     model = train(docs, labels, ~held, per_class=per_class)

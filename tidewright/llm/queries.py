@@ -57,7 +57,7 @@ def op5_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     sharded = shard_documents(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return sharded.drop("text")
+    return sharded.drop("text")  # so that texts are read once, for their bytes, and not moved
 
 
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,12 +7,13 @@ again. In each round the rows of a hub learn, by a join with the hub's counts by
 shard, the shard that holds most of the hub and still has room, and ask to move
 there. Moves are admitted as swaps: as many rows go from ``a`` to ``b`` as come
 from ``b`` to ``a``, first rows that ask to, then rows without links, which lose
-nothing. So every round keeps every shard's count, and cut links only fall.
+nothing. So every round keeps every shard's count, and cut links only fall, until
+nothing may move.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewright.llm.common import distributed_rank, fresh, materialize, read_order, salts_for
@@ -54,12 +55,14 @@ def _dealt(at: str, shards: int) -> Column:
     return ((F.col(at) + first) % shards).cast("int")
 
 
-def propagate(rows: DataFrame, shards: int = 24, rounds: int = 6) -> DataFrame:
+def propagate(rows: DataFrame, shards: int = 24) -> DataFrame:
     """Assign ``shard`` to ``rows`` (``rid``, from 0 without gaps; a nullable ``hub``).
 
     A null hub has no links. Counts of shards differ by one at most after each
     round. A hub with more rows than a shard holds spreads over several: a shard
-    that it fills takes no more of it. Ends early once nothing asks to move.
+    that it fills takes no more of it. All of a hub's rows that move in a round move
+    to one shard, the one that has most of it, so the sum of the squares of the hubs'
+    counts grows with each move: the rounds end, and they do when nothing may move.
     An empty table stays empty.
     """
     salts = salts_for(rows.count())
@@ -73,7 +76,7 @@ def propagate(rows: DataFrame, shards: int = 24, rounds: int = 6) -> DataFrame:
     )
     quota = {r.shard: r.n for r in rows.groupBy("shard").agg(F.count(F.lit(1)).alias("n")).collect()}
     room = F.array(*[F.lit(quota.get(s, 0)).cast("long") for s in range(shards)])
-    for _ in range(rounds):
+    while True:
         linked = rows.where("hub is not null")
         # Most rows of the hub, then the lowest shard; a shard that the hub fills is closed.
         best = F.array_max(
@@ -140,7 +143,7 @@ def propagate(rows: DataFrame, shards: int = 24, rounds: int = 6) -> DataFrame:
     return rows
 
 
-def shard_documents(docs: DataFrame, shards: int = 24, rounds: int = 6) -> DataFrame:
+def shard_documents(docs: DataFrame, shards: int = 24) -> DataFrame:
     """Put every row of ``docs`` into a shard; links are equal texts.
 
     Adds ``size`` (UTF-8 bytes of the text and 8 more; a null text has none),
@@ -150,32 +153,37 @@ def shard_documents(docs: DataFrame, shards: int = 24, rounds: int = 6) -> DataF
     of ``docs``: of files by name, or else of partitions) and
     ``grown_shard`` (null under this law). Null texts are linked to each other.
     Repeated rows are rows of their own. Columns of ``docs`` with these names,
-    in any case, are replaced. Which of equally good rows moves is arbitrary
-    but fixed once written. The text is read once and not shuffled with the
-    decisions: they are made on ids and joined back by them.
+    in any case, are replaced; all others stay as they are. Which of equally good
+    rows moves is arbitrary but fixed once written. Decisions are made on numbers of
+    rows, without texts, and joined back.
     """
     made = {"size", "text_crc32", "law", "shard", "slot", "grown_shard"}
     docs = docs.drop(*[c for c in docs.columns if c.lower() in made])
-    rid, part, place, before = (fresh(docs, x) for x in ("_rid", "_part", "_place", "_before"))
-    keyed = (
-        read_order(docs, part, place)
-        .withColumn("size", (F.coalesce(F.octet_length("text"), F.lit(0)) + 8).cast("long"))
-        .withColumn("text_crc32", F.crc32(F.encode(F.coalesce("text", F.lit("")), "UTF-8")))
-        .withColumn("_hub", F.xxhash64("text", F.lit(0)))
+    part, place = fresh(docs, "_part"), fresh(docs, "_place")
+    own = [F.col(f"`{c}`") for c in docs.columns]
+    placed_docs = read_order(docs, part, place)
+    rows = placed_docs.select(
+        F.col(part).alias("part"),
+        F.col(place).alias("place"),
+        (F.coalesce(F.octet_length("text"), F.lit(0)) + 8).cast("long").alias("size"),
+        F.crc32(F.encode(F.coalesce("text", F.lit("")), "UTF-8")).alias("text_crc32"),
+        F.xxhash64("text", F.lit(0)).alias("hub"),
     )
-    keyed = materialize(keyed)  # from here on the ids are fixed
+    rows = materialize(rows)
     # One row a file: the rows of the files before it.
-    earlier = Window.partitionBy(F.lit(0)).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
-    parts = keyed.groupBy(part).agg(F.count(F.lit(1)).alias("n")).withColumn(before, F.coalesce(F.sum("n").over(earlier), F.lit(0)))
-    parts = materialize(parts.select(F.col(part).alias(f"{part}_p"), before))
-    keyed = keyed.join(F.broadcast(parts), F.col(part) == F.col(f"{part}_p")).withColumn(rid, (F.col(before) + F.col(place)).cast("long"))
-    placed = propagate(keyed.select(F.col(rid).alias("rid"), F.col("_hub").alias("hub")), shards, rounds)
+    earlier = Window.partitionBy(F.lit(0)).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = rows.groupBy("part").agg(F.count(F.lit(1)).alias("n")).withColumn("before", F.coalesce(F.sum("n").over(earlier), F.lit(0)))
+    parts = materialize(parts.select(F.col("part").alias("of"), "before"))
+    rows = rows.join(parts, F.col("part") == F.col("of")).withColumn("id", (F.col("before") + F.col("place")).cast("long"))
+    placed = propagate(rows.select(F.col("id").alias("rid"), "hub"), shards)
     n = placed.count()
     ranges = F.floor(F.col("rid") * F.lit(salts_for(-(-n // shards))) / F.lit(max(1, n))).cast("int")
     placed = distributed_rank(placed.select("rid", "shard"), ["shard"], [F.col("rid")], [], "slot", ranges=ranges)
-    return (
-        keyed.join(placed, F.col(rid) == F.col("rid"))
-        .withColumn("law", F.lit("rows"))
-        .withColumn("grown_shard", F.lit(None).cast("int"))
-        .select(*[F.col(c) for c in docs.columns], "size", "text_crc32", "law", "shard", "slot", "grown_shard")
+    decided = rows.join(placed, F.col("id") == F.col("rid")).select(
+        F.struct("part", "place").alias("_of"),
+        F.struct("size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")).alias("_made"),
     )
+    of, got = fresh(placed_docs, "_of"), fresh(placed_docs, "_made")
+    decided = materialize(decided.select(F.col("_of").alias(of), F.col("_made").alias(got)))
+    joined = placed_docs.join(decided, (F.col(part) == F.col(f"{of}.part")) & (F.col(place) == F.col(f"{of}.place")))
+    return joined.select(*own, *[F.col(f"{got}.{c}").alias(c) for c in ("size", "text_crc32", "law", "shard", "slot", "grown_shard")])

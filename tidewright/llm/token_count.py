@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidewright.llm.common import by_bytes, text_bytes
+
 #: A place where a text may be cut: one space between two characters that are
 #: no spaces. No piece of the vocabulary holds a space mark after another
 #: character (``safe_pieces`` checks that), so no token spans such a place, and
@@ -22,21 +24,30 @@ def safe_pieces(processor) -> bool:
     return all("▁" not in p.lstrip("▁") for p in pieces)
 
 
+def size_of(text: str) -> int:
+    """Bytes of UTF-8."""
+    return len(text) if text.isascii() else len(text.encode())
+
+
 class PieceCounter:
     """Counts a text's tokens with sentencepiece.
 
     Texts are cut at safe places; parts that recur are encoded once. New parts
-    go to the library in batches of about ``batch_bytes``. ``cache`` bounds the
-    remembered parts, which are forgotten together when there are more.
+    go to the library in batches of about ``batch_bytes``. ``cache_bytes`` bounds the
+    remembered parts, which are forgotten together when there are more. A part
+    of more than ``long`` characters is cut between two characters that no piece
+    has next to each other: no token spans those either.
     """
 
-    def __init__(self, model_file: str, batch_bytes: int = 1 << 18, cache: int = 400_000):
+    def __init__(self, model_file: str, batch_bytes: int = 1 << 18, cache_bytes: int = 24 << 20, long: int = 1 << 15):
         import sentencepiece
 
         self.processor = sentencepiece.SentencePieceProcessor(model_file=model_file)
         self.safe = safe_pieces(self.processor)
-        self.batch_bytes, self.cache = batch_bytes, cache
+        self.batch_bytes, self.cache_bytes, self.long = batch_bytes, cache_bytes, long
         self.known: dict[str, int] = {}
+        self.held = 0
+        self.pairs: set[str] | None = None
 
     def _encode(self, parts: list[str]) -> list[int]:
         lengths: list[int] = []
@@ -44,7 +55,7 @@ class PieceCounter:
         size = 0
         for p in parts:
             batch.append(p)
-            size += len(p)
+            size += size_of(p)
             if size >= self.batch_bytes:
                 lengths += map(len, self.processor.encode(batch, num_threads=1))
                 batch, size = [], 0
@@ -52,18 +63,36 @@ class PieceCounter:
             lengths += map(len, self.processor.encode(batch, num_threads=1))
         return lengths
 
+    def _long(self, part: str) -> int:
+        """The tokens of a long part: of its stretches, each encoded after the character before it, less that one's."""
+        if self.pairs is None:
+            pieces = (self.processor.id_to_piece(i) for i in range(self.processor.get_piece_size()))
+            self.pairs = {p[i : i + 2] for p in pieces for i in range(len(p) - 1)}
+        shown = part.replace(" ", "▁")
+        total, at = 0, 0
+        while at < len(part):
+            end = at + self.long
+            while end < len(part) and shown[end - 1 : end + 1] in self.pairs:
+                end += 1
+            lead = part[at - 1 : at] if at else ""
+            total += len(self.processor.encode(lead + part[at:end])) - (len(self.processor.encode(lead)) if lead else 0)
+            at = end
+        return total
+
     def count(self, texts: list[str]) -> list[int]:
         """The numbers of tokens of ``texts``, in order."""
         if not self.safe:
             return self._encode(texts)
-        if len(self.known) > self.cache:
-            self.known = {}
+        if self.held > self.cache_bytes:
+            self.known, self.held = {}, 0
         known = self.known
         cut = [_CUT.split(t) for t in texts]
         new = {p for parts in cut for p in parts if p not in known}
         if new:
-            fresh = list(new)
+            fresh = [p for p in new if len(p) <= self.long]
             known.update(zip(fresh, self._encode(fresh), strict=True))
+            known.update((p, self._long(p)) for p in new if len(p) > self.long)
+            self.held += sum(map(len, new)) + 100 * len(new)
         get = known.__getitem__
         return [sum(map(get, parts)) for parts in cut]
 
@@ -74,8 +103,8 @@ def count_tokens(
     """Add the number of tokens of ``text`` as the column ``out``.
 
     A null counts as the empty text and has no tokens. Texts of any length are
-    counted whole. Tasks are narrow: the text goes to Python and one integer
-    comes back, no shuffle. Special strings in a text are ordinary text, as the
+    counted whole. Tasks are narrow: the text goes to Python, in groups of about
+    ``group_bytes``, and one integer comes back, no shuffle. Special strings in a text are ordinary text, as the
     library treats them by default. A column that is already called ``out``
     (in any case of its letters) is replaced.
     """
@@ -87,24 +116,22 @@ def _counter(model_file: str, group_bytes: int):
     def lengths(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         counter = PieceCounter(model_file)
         for batch in batches:
+            data, offsets = text_bytes(batch)
             out: list[int] = []
-            group: list[str] = []
-            size = 0
-            for value in batch:
-                text = value.as_py() or ""
-                group.append(text)
-                size += len(text)
-                if size >= group_bytes:
-                    out += counter.count(group)
-                    group, size = [], 0
-            out += counter.count(group)
+            for i, j in by_bytes(offsets, group_bytes):
+                raw, at = data[offsets[i] : offsets[j]].tobytes(), (offsets[i : j + 1] - offsets[i]).tolist()
+                out += counter.count([raw[a:b].decode() for a, b in zip(at[:-1], at[1:], strict=True)])
             yield pa.array(out, pa.int64())
 
     return lengths
 
 
 def token_counts(docs: DataFrame, model_file: str, limit: int = 4096) -> DataFrame:
-    """``doc_id, n_bytes, n_tokens, over_limit`` of every document."""
+    """``doc_id, n_bytes, n_tokens, over_limit`` of every document.
+
+    Null ids and repeated rows stay; an empty table gives an empty one; other columns
+    are not used.
+    """
     n_bytes: Column = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")
     counted = count_tokens(docs.select("doc_id", "text"), model_file)
     return counted.select(
