@@ -20,11 +20,12 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from itertools import repeat
 from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewright.llm.common import commonest, crc_mod, fresh, materialize, read_order, text_bytes
@@ -126,11 +127,10 @@ def vocabulary(counts: DataFrame, short: int, classes: int, common: int) -> Voca
 
 @dataclass
 class LogBilinear:
-    """Parameters: vectors q of context places, vectors r and biases b of output places, context matrices c1 and c2."""
+    """Parameters: vectors q of context places, vectors r of output places with their biases as last column, context matrices c1 and c2."""
 
     q: np.ndarray
     r: np.ndarray
-    b: np.ndarray
     c1: np.ndarray
     c2: np.ndarray
 
@@ -140,14 +140,14 @@ class LogBilinear:
         rng = np.random.default_rng(seed)
         q, r = (rng.normal(0, 0.1, (size, width)).astype(np.float32) for size in (contexts, len(share)))
         near = [(np.eye(width) + rng.normal(0, 0.02, (width, width))).astype(np.float32) for _ in range(2)]
-        return cls(q, r, np.log(share).astype(np.float32), *near)
+        return cls(q, np.append(r, np.log(share).astype(np.float32)[:, None], axis=1), *near)
 
     def flat(self) -> np.ndarray:
-        return np.concatenate([x.reshape(-1) for x in (self.q, self.r, self.b, self.c1, self.c2)]).astype(np.float64)
+        return np.concatenate([x.reshape(-1) for x in (self.q, self.r, self.c1, self.c2)]).astype(np.float64)
 
     def filled(self, flat: np.ndarray) -> LogBilinear:
         out, at = [], 0
-        for x in (self.q, self.r, self.b, self.c1, self.c2):
+        for x in (self.q, self.r, self.c1, self.c2):
             out.append(flat[at : at + x.size].reshape(x.shape).astype(np.float32))
             at += x.size
         return LogBilinear(*out)
@@ -159,8 +159,9 @@ class LogBilinear:
         places; the log-probability of ``w`` after ``u, v``
         (``v`` the nearer) is ``t1[u, w] + t2[v, w] - log_z[u, v]``.
         """
-        t1 = np.clip((self.q @ self.c1.T) @ self.r.T, -15, 15) + self.b
-        t2 = np.clip((self.q @ self.c2.T) @ self.r.T, -15, 15)
+        r, b = self.r[:, :-1], self.r[:, -1]
+        t1 = np.clip((self.q @ self.c1.T) @ r.T, -15, 15) + b
+        t2 = np.clip((self.q @ self.c2.T) @ r.T, -15, 15)
         return t1, t2, np.log(np.exp(t1) @ np.exp(t2).T)
 
 
@@ -168,43 +169,52 @@ class Trainer:
     """Noise-contrastive steps with AdaGrad; the noise of a batch is shared by its rows."""
 
     def __init__(self, model: LogBilinear, share: np.ndarray, noise: int = 64, rate: float = 0.1, seed: int = 0):
-        self.m, self.rate, self.noise = model, rate, noise
+        self.m, self.rate, self.noise = model, np.float32(rate), noise
         self.rng = np.random.default_rng(seed)
-        self.log_share, self.cumulated = np.log(share).astype(np.float32), np.cumsum(share)
-        self.sums = [np.full_like(x, 1e-2) for x in (model.q, model.r, model.b, model.c1, model.c2)]
         self.weight = 10.0  # noise words that stand against each true word
+        self.log_noise = (np.log(share) + np.log(self.weight)).astype(np.float32)
+        self.cumulated = np.cumsum(share)
+        self.sums = [np.full_like(x, 1e-2) for x in (model.q, model.r, model.c1, model.c2)]
 
-    def _rows(self, which: int, at: np.ndarray, grad: np.ndarray) -> None:
+    def _rows(self, x: np.ndarray, s: np.ndarray, at: np.ndarray, grad: np.ndarray) -> None:
         """An AdaGrad step on the rows ``at``; gradients of equal rows are summed."""
-        order = np.argsort(at, kind="stable")
-        sorted_at = at[order]
-        first = np.flatnonzero(np.append(True, sorted_at[1:] != sorted_at[:-1]))
-        rows, total = sorted_at[first], np.add.reduceat(grad[order], first, axis=0)
-        x, s = (self.m.q, self.m.r, self.m.b)[which], self.sums[which]
-        s[rows] += total**2
-        x[rows] += self.rate * total / np.sqrt(s[rows])
+        at, width = at.astype(np.uint16), x.shape[1]  # short numbers sort faster
+        order = at.argsort(kind="stable")
+        ordered = at[order]
+        new = np.append(True, ordered[1:] != ordered[:-1])
+        rows, group = ordered[new], np.empty(len(at), np.int64)
+        group[order] = np.cumsum(new) - 1
+        cells = (group[:, None] * width + np.arange(width)).ravel()
+        total = np.bincount(cells, weights=grad.ravel(), minlength=len(rows) * width).reshape(-1, width).astype(np.float32)
+        squares = s[rows] + total**2
+        s[rows] = squares
+        x[rows] += self.rate * total / np.sqrt(squares)
 
     def step(self, u: np.ndarray, v: np.ndarray, w: np.ndarray) -> None:
         m, n = self.m, len(w)
-        qu, qv = m.q[u], m.q[v]
-        h = qu @ m.c1.T + qv @ m.c2.T
+        qu, qv = m.q.take(u, axis=0), m.q.take(v, axis=0)
+        h = np.ones((n, m.r.shape[1]), np.float32)  # the last column is for biases
+        np.matmul(qu, m.c1.T, out=h[:, :-1])
+        h[:, :-1] += qv @ m.c2.T
         k = np.minimum(np.searchsorted(self.cumulated, self.rng.random(self.noise)), len(self.cumulated) - 1)
-        each = self.weight / self.noise
-        log_w = np.float32(np.log(self.weight))
-        rw, rk = m.r[w], m.r[k]
-        true = np.einsum("ij,ij->i", h, rw) + m.b[w] - log_w - self.log_share[w]
-        false = h @ rk.T + (m.b[k] - log_w - self.log_share[k])[None, :]
+        rw, rk = m.r.take(w, axis=0), m.r.take(k, axis=0)
+        true = np.einsum("ij,ij->i", h, rw) - self.log_noise[w]
+        false = h @ rk.T
+        false -= self.log_noise[k]
         g = 1 / (1 + np.exp(np.clip(true, -30, 30)))
-        f = -each / (1 + np.exp(-np.clip(false, -30, 30)))
-        gh = g[:, None] * rw + f @ rk
+        np.clip(false, -30, 30, out=false)
+        np.negative(false, out=false)
+        np.exp(false, out=false)
+        false += 1
+        f = np.divide(np.float32(-self.weight / self.noise), false, out=false)
+        gh = (g[:, None] * rw + f @ rk)[:, :-1]
         scale = np.float32(1.0 / np.sqrt(n))
-        self._rows(1, np.concatenate([w, k]), np.concatenate([g[:, None] * h, f.T @ h]) * scale)
-        self._rows(2, np.concatenate([w, k]), np.concatenate([g, f.sum(0)]).astype(np.float32) * scale)
+        self._rows(m.r, self.sums[1], np.concatenate([w, k]), np.concatenate([g[:, None] * h, f.T @ h]) * scale)
         g1, g2 = gh.T @ qu, gh.T @ qv
-        self._rows(0, np.concatenate([u, v]), np.concatenate([gh @ m.c1, gh @ m.c2]) * scale)
-        for x, s, grad in ((m.c1, self.sums[3], g1 * scale), (m.c2, self.sums[4], g2 * scale)):
+        self._rows(m.q, self.sums[0], np.concatenate([u, v]), np.concatenate([gh @ m.c1, gh @ m.c2]) * scale)
+        for x, s, grad in ((m.c1, self.sums[2], g1 * scale), (m.c2, self.sums[3], g2 * scale)):
             s += grad**2
-            x += 0.2 * self.rate * grad / np.sqrt(s)
+            x += np.float32(0.2) * self.rate * grad / np.sqrt(s)
 
 
 def contexts(numbers: np.ndarray, starts: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
@@ -263,7 +273,7 @@ def numbered(learn: DataFrame, sent, shards: int) -> DataFrame:
 
     rows = learn.select("h", "text").mapInArrow(run, "h long, places binary")
     rows = rows.withColumn("shard", F.pmod("h", F.lit(shards)).cast("int"))
-    return materialize(rows.repartition(shards, "shard").sortWithinPartitions("shard", "h"))
+    return materialize(rows.repartitionById(shards, F.col("shard")).sortWithinPartitions("shard", "h"))
 
 
 def targets(starts: np.ndarray, size: int, number: int, rounds: int) -> np.ndarray:
@@ -362,9 +372,8 @@ _TABLES: dict = {}
 
 def _scores(sent, base_log: float):
     """``n_tokens, n_known, base, score`` of each text by its common words, and its other words."""
-    kind = pa.struct([("token", pa.binary()), ("n", pa.int64())])
 
-    @F.arrow_udf("struct<n_tokens:bigint,n_known:bigint,base:double,score:double,others:array<struct<token:binary,n:bigint>>>")
+    @F.arrow_udf("struct<n_tokens:bigint,n_known:bigint,base:double,score:double,others:array<binary>>")
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         vocab, model, key = sent.value
         if key not in _TABLES:  # one model at a time in a worker
@@ -380,29 +389,26 @@ def _scores(sent, base_log: float):
         log_rest = np.append(np.zeros(vocab.short), np.log10(vocab.rest))
         for column in batches:
             out: list[list[np.ndarray]] = []
-            others: list[list[dict]] = []
+            others: list[bytes] = []
+            ends = [np.zeros(1, np.int64)]
             for group, starts in _groups(_texts(column), 200_000):
                 words = [w for text in group for w in text]
-                rank = np.fromiter((get(w, -1) for w in words), np.int64, len(words))
+                rank = np.fromiter(map(get, words, repeat(-1)), np.int64, len(words))
                 known = rank >= 0
                 place = vocab.places[rank] if len(vocab.words) else np.zeros(len(words), np.int64)
                 rare = np.flatnonzero(~known)
-                place[rare] = [vocab.place(words[i]) for i in rare.tolist()]
+                strange = [words[i] for i in rare.tolist()]
+                place[rare] = [vocab.place(w) for w in strange]
                 u, v = contexts(vocab.context[place], starts, end)
                 log_p = (t1[u, place] + t2[v, place] - log_z[u, v]).astype(float) / np.log(10) + log_count[rank] - log_rest[place]
                 out.append([np.add.reduceat(x, starts) for x in (np.ones(len(words), np.int64), known.astype(np.int64), log_base[rank], log_p)])
-                ends = np.searchsorted(rare, np.append(starts[1:], len(words))).tolist()
-                at = 0
-                for e in ends:
-                    counted = Counter(words[i] for i in rare[at:e].tolist())
-                    others.append([{"token": w, "n": n} for w, n in counted.items()])
-                    at = e
+                ends.append(len(others) + np.searchsorted(rare, np.append(starts[1:], len(words))))
+                others += strange
             if not out:
                 out.append([np.zeros(0, np.int64)] * 2 + [np.zeros(0)] * 2)
             arrays = [pa.array(np.concatenate([g[i] for g in out])) for i in range(4)]
-            yield pa.StructArray.from_arrays(
-                [*arrays, pa.array(others, pa.list_(kind))], names=["n_tokens", "n_known", "base", "score", "others"]
-            )
+            lists = pa.ListArray.from_arrays(pa.array(np.concatenate(ends), pa.int32()), pa.array(others, pa.binary()))
+            yield pa.StructArray.from_arrays([*arrays, lists], names=["n_tokens", "n_known", "base", "score", "others"])
 
     return run
 
@@ -434,15 +440,14 @@ def lm_scores(docs: DataFrame, short: int = 4096, classes: int = 4096, common: i
     scored = docs.select("doc_id", held.alias("held_out"), _scores(sent, base_log)("text").alias("s"))
     scored = materialize(scored.select("doc_id", "held_out", "s.*", F.monotonically_increasing_id().alias("rid")))
     log = lambda c: F.log10(F.coalesce(c, F.lit(0)) + F.lit(1.0))
-    n: Column = F.col("o.n")
     rare = (
         scored.select("rid", F.explode("others").alias("o"))
-        .join(counts.select(F.col("token").alias("t"), F.col("n").alias("c")), F.col("o.token") == F.col("t"), "left")
+        .join(counts.select(F.col("token").alias("t"), F.col("n").alias("c")), F.col("o") == F.col("t"), "left")
         .groupBy("rid")
         .agg(
-            F.sum(F.when(F.col("c") > 0, n).otherwise(0)).alias("known"),
-            F.sum(n * (log(F.col("c")) - base_log)).alias("base_more"),
-            F.sum(n * log(F.col("c"))).alias("score_more"),
+            F.count_if(F.col("c") > 0).alias("known"),
+            F.sum(log(F.col("c")) - base_log).alias("base_more"),
+            F.sum(log(F.col("c"))).alias("score_more"),
         )
         .withColumnRenamed("rid", "r")
     )
