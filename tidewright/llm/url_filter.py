@@ -148,7 +148,7 @@ def judge_urls(pages: DataFrame, rules=RULES, longest: int = 20, most_sent: int
     rows = pages.select("page_id", host.alias("host"), path.alias("path"))
     hosts = rows.where("host <> ''").select("host").distinct()
     names = hosts.select(F.explode(names_of(F.col("host"))).alias("name")).distinct()
-    words = segmented(names, unigrams(pages, longest), longest)
+    words = segmented(names, materialize(unigrams(pages, longest)), longest)
     # A host's words: its names' in order. A name such as com is in very many hosts, on the side
     # that Spark may split; the side of the words has each name once.
     parts = hosts.select("host", F.posexplode(names_of(F.col("host"))).alias("pos", "part")).join(words, F.col("part") == F.col("name"))
