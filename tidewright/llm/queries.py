@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tidewright.llm.common import table
 from tidewright.llm.decontaminate import contaminated_pairs
+from tidewright.llm.fill_middle import DIGEST_SQL, fill_in_middle_digest
 from tidewright.llm.language_id import language_id
 from tidewright.llm.lm_score import lm_scores
 from tidewright.llm.lz_fingerprint import lz_fingerprints
@@ -76,6 +77,10 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(table(spark, sf_dir, "pages"))
 
 
+def op12_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_in_middle_digest(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = [
         op1_mixing,
@@ -88,9 +93,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op8_token_counts,
         op9_quality,
         op10_url_filter,
+        op12_fill_middle,
     ]
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op12_fill_middle": DIGEST_SQL}
