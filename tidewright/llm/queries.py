@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewright.llm.common import table
+from tidewright.llm.conversation_repair import REPAIR_SQL, repair_damaged
 from tidewright.llm.decontaminate import contaminated_pairs
 from tidewright.llm.fill_middle import DIGEST_SQL, fill_in_middle_digest
 from tidewright.llm.language_id import language_id
@@ -77,6 +78,10 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(table(spark, sf_dir, "pages"))
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair_damaged(table(spark, sf_dir, "conversations"))
+
+
 def op12_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fill_in_middle_digest(table(spark, sf_dir, "documents"))
 
@@ -93,10 +98,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op8_token_counts,
         op9_quality,
         op10_url_filter,
+        op11_conversation_repair,
         op12_fill_middle,
     ]
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op12_fill_middle": DIGEST_SQL}
+    return {"op11_conversation_repair": REPAIR_SQL, "op12_fill_middle": DIGEST_SQL}
