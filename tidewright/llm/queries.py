@@ -20,6 +20,7 @@ from tidewright.llm.quality import quality_scores
 from tidewright.llm.sharding import shard_documents
 from tidewright.llm.simhash import near_duplicates
 from tidewright.llm.token_count import token_counts
+from tidewright.llm.toxicity import toxicity_scores
 from tidewright.llm.url_filter import judge_urls
 
 
@@ -86,6 +87,10 @@ def op12_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fill_in_middle_digest(table(spark, sf_dir, "documents"))
 
 
+def op13_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = [
         op1_mixing,
@@ -100,6 +105,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op10_url_filter,
         op11_conversation_repair,
         op12_fill_middle,
+        op13_toxicity,
     ]
     return {f.__name__: f for f in found}
 
