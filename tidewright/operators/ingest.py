@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tidewright.functions.text import trimmed
 from tidewright.operators.restore import kind, members
+from tidewright.sources.commits import Run
 
 #: Tables that are never taken in.
 SKIPPED = ("character_profiles", "virtual_items", "virtualitems")
@@ -151,6 +152,48 @@ def repeated_keys(rows: DataFrame, keys: list[str]) -> DataFrame:
     return rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
 
 
+def with_reason(rows: DataFrame, standing: DataFrame | None, keys: list[str]) -> DataFrame:
+    """``rows`` with ``reason``: ``repeated`` where another row has the key, ``standing`` where the table has it, else null.
+
+    A key with a null in it is no other's. Keys are counted by partial sums and the
+    standing ones met in a left semi-join of keys only, which Spark narrows by a
+    Bloom filter at run time where that pays; so no key needs a task of its own.
+    """
+    whole = F.lit(True)
+    for k in keys:
+        whole = whole & F.col(k).isNotNull()
+    counted = rows.where(whole).groupBy(*[F.col(k).alias(f"_{k}") for k in keys]).agg(F.count(F.lit(1)).alias("_n"))
+    known = counted.withColumn("_held", F.lit(False))
+    if standing is not None:
+        met = counted.join(standing.select(*[F.col(k).alias(f"_{k}") for k in keys]), [f"_{k}" for k in keys], "left_semi").withColumn("_held", F.lit(True))
+        known = counted.where("_n > 1").withColumn("_held", F.lit(False)).unionByName(met)
+        known = known.groupBy(*[f"_{k}" for k in keys]).agg(F.max("_n").alias("_n"), F.max("_held").alias("_held"))
+    odd = known.where("_n > 1 or _held")
+    same = F.lit(True)
+    for k in keys:
+        same = same & (F.col(k) == F.col(f"_{k}"))
+    reason = F.when(F.col("_n") > 1, "repeated").when(F.col("_held"), "standing")
+    return rows.join(odd, same, "left").withColumn("reason", reason).drop("_n", "_held", *[f"_{k}" for k in keys])
+
+
+def put_unique(run: Run, name: str, rows: DataFrame, keys: list[str]) -> None:
+    """Stage the rows of a table whose ``keys`` are unique, and the others, with ``reason``, as the table ``<name>_aside``.
+
+    Keys are unique among the rows and against the partitions that stay; those that
+    ``rows`` replaces do not count. All that share a key among the rows are set aside.
+    """
+    from tidewright.sources.shared import materialize
+
+    staged = materialize(rows)
+    standing = run.tables.read(name)
+    if standing is not None:
+        replaced = staged.select(F.col("server_region").alias("_s")).distinct()
+        standing = standing.join(F.broadcast(replaced), F.col("server_region").cast("string") == F.col("_s"), "left_anti")  # regions are few
+    judged = materialize(with_reason(staged, standing, keys))
+    run.put(name, judged.where("reason is null").drop("reason"))
+    run.put(f"{name}_aside", judged.where("reason is not null"))
+
+
 class IngestError(Exception):
     """Files of a run that failed; all others are taken in. ``outcomes`` has every file's."""
 
@@ -160,47 +203,53 @@ class IngestError(Exception):
         self.outcomes = outcomes
 
 
-def ingest_regions(spark: SparkSession, folders: dict[str, str | None], catalog: dict[str, dict[str, str]], target: str, at_once: int = 8) -> list[tuple[str, str, str]]:
+def ingest_regions(
+    spark: SparkSession, folders: dict[str, str | None], catalog: dict[str, dict[str, str]], target: str, at_once: int = 8, run: Run | None = None
+) -> list[tuple[str, str, str]]:
     """Take in the table files of all regions; ``(region, stem, outcome)`` of each, or IngestError at the end.
 
     ``folders`` gives a region's folder; regions without one (null or empty), and
     missing folders, are skipped. Outcomes are ``written``, ``empty`` (no objects:
-    what the table has stays), ``unknown`` (no such table, or a second file of one)
-    and ``failed`` (no JSON array). A file's failure leaves all others alone. The
-    driver sees file names only. A table is one job that reads each of its files once
-    and writes all regions, ``at_once`` tables side by side.
+    what the table has stays), ``unknown`` (no such table), ``second`` (a table's further
+    file in a region: the first by name is taken in) and ``failed`` (no JSON array). A
+    file's failure leaves all others alone. Files may be of any size: they are read in
+    byte ranges (:mod:`tidewright.sources.json_scan`), and the driver sees their names,
+    and a row a range. A table is one write of all its regions, ``at_once`` tables side by side.
+    They replace partitions under ``target`` table by table; with ``run``, a run of a set of tables,
+    they are staged there instead, and :meth:`Run.commit` shows all tables at once.
     """
-    from tidewright.sources.files import file_stems, is_array, json_table, records_of
+    from tidewright.sources.files import table_files
+    from tidewright.sources.json_scan import array_scan
 
     tables = spark.createDataFrame([(t,) for t in catalog], "table string")
     outcomes: dict[tuple[str, str], str] = {}
-    work: dict[str, dict[str, str]] = {}
+    work: dict[str, dict[str, tuple[str, str, str]]] = {}
     for region, folder in folders.items():
         if folder:
-            for r in sorted(resolve_tables(file_stems(spark, folder), tables).collect(), key=lambda r: r.stem):
-                outcomes[region, r.stem] = "unknown"
+            for r in sorted(resolve_tables(table_files(spark, folder), tables).collect(), key=lambda r: r.stem):
+                outcomes[region, r.stem] = "unknown" if r.table is None else "second"
                 if r.table is not None:
-                    work.setdefault(r.table, {}).setdefault(region, r.stem)
+                    work.setdefault(r.table, {}).setdefault(region, (r.stem, r.path, f"{folder.rstrip('/')}/{r.stem}.json"))
 
     def one(name: str) -> None:
-        files, seen, special = work[name], Observation(), {"assetbundle_name": archive_name()} if name == "cards" else None
-        read = [json_table(spark, folders[region], stem).withColumn("_region", F.lit(region)) for region, stem in files.items()]
-        whole = read[0]
-        for more in read[1:]:
-            whole = whole.unionByName(more)
-        mine = {region: F.col("_region") == region for region in files}
-        ok = is_array(F.col("value"))
-        whole = whole.observe(seen, *[F.count_if(test & ok).alias(f"ok_{region}") for region, test in mine.items()])
-        rows = typed_rows(records_of(whole, "_region"), catalog[name], F.col("_region"), special=special)
-        wrote = Observation()
-        rows = rows.observe(wrote, *[F.count_if(F.col("server_region") == region).alias(f"n_{region}") for region in files])
+        files, special = work[name], {"assetbundle_name": archive_name()} if name == "cards" else None
+        stems = {region: stem for region, (stem, _, _) in files.items()}
         try:
-            replace_regions(rows, f"{target.rstrip('/')}/{name}")
+            scan = array_scan(spark, [at for _, _, at in files.values()])
+            seen = {r.path: r for r in scan.status().collect()}
+            good = {region: path for region, (_, path, _) in files.items() if path in seen and seen[path].ok}
+            if any(seen[path].rows for path in good.values()):
+                region = F.create_map(*[F.lit(x) for region, path in good.items() for x in (path, region)])[F.col("path")]
+                rows = typed_rows(scan.records().where(F.col("path").isin(*good.values())), catalog[name], region, special=special)
+                if run is None:
+                    replace_regions(rows, f"{target.rstrip('/')}/{name}")
+                else:
+                    run.put(name, rows)
         except PySparkException:
-            outcomes.update({(region, stem): "failed" for region, stem in files.items()})
+            outcomes.update({(region, stem): "failed" for region, stem in stems.items()})
             return
-        for region, stem in files.items():
-            outcomes[region, stem] = "written" if wrote.get[f"n_{region}"] else "empty" if seen.get[f"ok_{region}"] else "failed"
+        for region, stem in stems.items():
+            outcomes[region, stem] = "failed" if region not in good else "written" if seen[good[region]].rows else "empty"
 
     with ThreadPoolExecutor(at_once) as pool:
         list(pool.map(inheritable_thread_target(spark)(one), sorted(work)))

@@ -15,6 +15,7 @@ from tidewright.operators import ingest as I
 from tidewright.operators import schema as S
 from tidewright.plans.registry import query, table
 from tidewright.sources import files
+from tidewright.sources.commits import Files, TableSet
 from tidewright.sources.shared import new_folder
 
 CATALOG = I.catalog_of(
@@ -105,24 +106,36 @@ def i14(spark, sf_dir):
 
 def _put(spark: SparkSession, path: str, text: str) -> None:
     """Lay down a small file, on whatever file system the folder is."""
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    out = at.getFileSystem(spark._jsc.hadoopConfiguration()).create(at)
-    out.write(bytearray(text.encode()))
-    out.close()
+    folder, _, name = path.rpartition("/")
+    Files(spark, folder).put_new(name, text)
+
+
+def _put_array(records: DataFrame, path: str) -> None:
+    """Lay down JSON texts (``value``) as one file with one array; other elements come first."""
+    spark, (folder, _, name) = records.sparkSession, path.rpartition("/")
+    line = lambda text: spark.range(1).select(F.lit(text).alias("value"))
+    lines = line('[17,"x"').unionByName(records.select(F.concat(F.lit(","), "value").alias("value"))).unionByName(line("]"))
+    lines.coalesce(1).write.text(f"{path}.parts")
+    files = Files(spark, folder)
+    (part,) = [n for n in files.names(f"{name}.parts") if n.startswith("part-")]
+    files.fs.rename(files.path(f"{name}.parts/{part}"), files.path(name))
+    files.delete(f"{name}.parts")
 
 
 @query(
     "s1_s3_i12_i13_i15_regions",
-    """WITH r AS (SELECT count(*) AS n FROM region) SELECT * FROM (VALUES ('en', 'region', 'empty', 0), ('jp', 'Regions', 'written', (SELECT n FROM r)), ('jp', 'nation', 'failed', 0), ('jp', 'nosuch', 'unknown', 0),
-       ('kr', 'nation', 'written', 1), ('kr', 'region', 'written', (SELECT n FROM r))) t(region, stem, outcome, "rows")""",
+    """WITH r AS (SELECT count(*) AS n FROM customer) SELECT * FROM (VALUES ('en', 'customer', 'empty', 0), ('jp', 'Customers', 'written', (SELECT n FROM r)), ('jp', 'nation', 'failed', 0), ('jp', 'nosuch', 'unknown', 0),
+       ('kr', 'customer', 'second', 0), ('kr', 'Customer', 'written', (SELECT n FROM r)), ('kr', 'nation', 'written', 1)) t(region, stem, outcome, "rows")""",
 )
 def s1(spark, sf_dir):
-    """Two runs over the folders of all regions; the second has a file that fails and one without rows."""
+    """Two runs over the folders of all regions; the second has a file that fails, one without rows, and a table's second file."""
     folder = new_folder(spark)
-    text = "[17,\"x\"," + ",".join(r.value for r in table(spark, sf_dir, "region").select(F.to_json(F.struct(F.col("r_regionkey").alias("id"), F.col("r_name").alias("Name"))).alias("value")).collect()) + "]"
-    catalog = I.catalog_of([{"name": "regions", "columns": ["game_id:int64", "name"]}, {"name": "nations", "columns": ["game_id:int64"]}])
-    for path, value in (("jp/Regions", text), ("jp/nation", "{"), ("jp/nosuch", "[]"), ("en/region", "[5]"), ("kr/region", text), ("kr/nation", '[{"id":" 1"}]')):
+    records = table(spark, sf_dir, "customer").select(F.to_json(F.struct(F.col("c_custkey").alias("id"), F.col("c_name").alias("Name"))).alias("value"))
+    catalog = I.catalog_of([{"name": "customers", "columns": ["game_id:int64", "name"]}, {"name": "nations", "columns": ["game_id:int64"]}])
+    for path, value in (("jp/nation", "{"), ("jp/nosuch", "[]"), ("en/customer", "[5]"), ("kr/nation", '[{"id":" 1"}]'), ("kr/customer", "[]")):
         _put(spark, f"{folder}/in/{path}.json", value)
+    for path in ("jp/Customers", "kr/Customer"):
+        _put_array(records, f"{folder}/in/{path}.json")
     folders = {r: f"{folder}/in/{r}" for r in ("jp", "en", "kr", "tw")} | {"cn": None}
     outcomes = []
     for regions in (("kr",), ("jp", "en", "kr", "tw", "cn")):
@@ -133,10 +146,77 @@ def s1(spark, sf_dir):
     done = spark.createDataFrame(outcomes, "region string, stem string, outcome string")
     named = I.resolve_tables(done, S.catalog_rows(spark, catalog).select("table").distinct())
     rows = [spark.read.parquet(f"{folder}/out/{t}").groupBy(F.col("server_region").alias("_r")).agg(F.count("game_id").alias("rows")).withColumn("_t", F.lit(t)) for t in catalog]
-    counted = named.join(rows[0].unionByName(rows[1]), (F.col("region") == F.col("_r")) & (F.col("table") == F.col("_t")), "left")
+    counted = named.join(rows[0].unionByName(rows[1]), (F.col("region") == F.col("_r")) & (F.col("table") == F.col("_t")) & (F.col("outcome") == "written"), "left")
     return counted.select("region", "stem", "outcome", F.coalesce("rows", F.lit(0)).alias("rows"))
 
 
+@query(
+    "s1_s2_large_arrays",
+    """SELECT o_orderpriority AS server_region, o_orderkey AS game_id, o_orderstatus AS status, o_custkey AS customer FROM orders""",
+)
+def s1_large(spark, sf_dir):
+    """All orders as one file a priority, read in byte ranges; each record has an object and a text with brackets inside."""
+    folder = new_folder(spark)
+    orders = table(spark, sf_dir, "orders")
+    inner = F.struct(F.struct(F.col("o_custkey").alias("of")).alias("by"), F.lit('}{"[\\').alias("text"), F.array("o_orderkey").alias("keys"))
+    record = F.to_json(F.struct(F.col("o_orderkey").alias("id"), inner.alias("inner"), F.col("o_orderstatus").alias("Status")))
+    catalog = I.catalog_of([{"name": "orders", "columns": ["game_id:int64", "status", "inner:json.RawMessage"]}])
+    folders = {}
+    for priority in ("1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"):
+        folders[priority] = f"{folder}/{priority[0]}"
+        _put_array(orders.where(F.col("o_orderpriority") == priority).select(record.alias("value")), f"{folders[priority]}/orders.json")
+    tables = TableSet(spark, f"{folder}/set")
+    run = tables.begin()
+    I.ingest_regions(spark, folders, catalog, "", run=run)
+    run.commit()
+    return tables.read("orders").select("server_region", "game_id", "status", F.try_variant_get("inner", "$.by.of", "bigint").alias("customer"))
+
+
+@query(
+    "i9_i12_commits",
+    """WITH t AS (SELECT 'customers' AS "table", CASE WHEN c_nationkey % 2 = 0 THEN 'jp' ELSE 'en' END AS server_region, count(*) AS n FROM customer GROUP BY 2
+         UNION ALL SELECT 'orders', CASE WHEN o_custkey % 2 = 0 THEN 'jp' ELSE 'en' END, count(*) FROM orders GROUP BY 2)
+       SELECT c AS "commit", "table", server_region, n, n * CASE WHEN c = 2 AND server_region = 'jp' THEN 2 ELSE 1 END AS v FROM t, (VALUES (1), (2)) v(c)""",
+)
+def i9_commits(spark, sf_dir):
+    """Two tables over three runs, of which the second is lost between its tables; both states that readers saw."""
+    tables = TableSet(spark, new_folder(spark))
+    region = lambda c: F.when(F.col(c) % 2 == 0, "jp").otherwise("en").alias("server_region")
+    given = {"customers": table(spark, sf_dir, "customer").select("c_custkey", region("c_nationkey")), "orders": table(spark, sf_dir, "orders").select("o_orderkey", region("o_custkey"))}
+    first, lost, second = tables.begin(), tables.begin(), tables.begin()
+    for name, rows in given.items():
+        first.put(name, rows.withColumn("version", F.lit(1)))
+    first.commit()
+    lost.put("customers", given["customers"].withColumn("version", F.lit(9)))
+    for name, rows in given.items():
+        second.put(name, rows.where("server_region = 'jp'").withColumn("version", F.lit(2)))
+    second.commit()
+    tables.sweep(keep=2, older_s=0)
+    seen = [tables.read(name, c).groupBy("server_region").agg(F.count(F.lit(1)).alias("n"), F.sum("version").alias("v")).select(F.lit(c).alias("commit"), F.lit(name).alias("table"), "server_region", "n", "v") for c in (1, 2) for name in given]
+    return seen[0].unionByName(seen[1]).unionByName(seen[2]).unionByName(seen[3])
+
+
+@query(
+    "i14_enforced",
+    """WITH o AS (SELECT o_orderkey, o_custkey, o_orderkey % 3 = 0 AS old FROM orders), n AS (SELECT *, count(*) OVER (PARTITION BY o_custkey) AS n FROM o WHERE NOT old AND o_orderkey % 7 <> 0), s AS (SELECT DISTINCT o_custkey FROM (SELECT o_custkey, count(*) OVER (PARTITION BY o_custkey) AS n FROM o WHERE old) WHERE n = 1)
+       SELECT o_orderkey, CASE WHEN n > 1 THEN 'repeated' WHEN o_custkey IN (SELECT o_custkey FROM s) THEN 'standing' ELSE 'written' END AS outcome FROM n
+       UNION ALL SELECT o_orderkey, 'written' FROM o WHERE NOT old AND o_orderkey % 7 = 0
+       UNION ALL SELECT o_orderkey, CASE WHEN count(*) OVER (PARTITION BY o_custkey) > 1 THEN 'repeated' ELSE 'written' END FROM o WHERE old""",
+)
+def i14_enforced(spark, sf_dir):
+    """A table with one order a customer, taken in over two runs; null keys are nobody's, and what breaks the rule is set aside."""
+    tables = TableSet(spark, new_folder(spark))
+    orders = table(spark, sf_dir, "orders")
+    old = F.col("o_orderkey") % 3 == 0
+    key = F.when(old | (F.col("o_orderkey") % 7 != 0), F.col("o_custkey")).alias("customer")
+    for region, rows in (("en", orders.where(old)), ("jp", orders.where(~old))):
+        run = tables.begin()
+        I.put_unique(run, "firsts", rows.select("o_orderkey", key, F.lit(region).alias("server_region")), ["customer"])
+        run.commit()
+    aside = tables.read("firsts_aside")
+    return tables.read("firsts").select("o_orderkey", F.lit("written").alias("outcome")).unionByName(aside.select("o_orderkey", F.col("reason").alias("outcome")))
+
+
 @F.arrow_udf(BinaryType())
 def _bundle(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
     """A tar file for each number: garbage, without tables, or with some and a version; one is cut short."""

@@ -11,6 +11,8 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidewright.sources.json_scan import file_stem
+
 VERSION_FIELDS = "appVersion string, appHash string, dataVersion string, assetVersion string, assetHash string, cdnVersion int"
 
 
@@ -24,33 +26,30 @@ def _or_none(read, spark: SparkSession, schema: str) -> DataFrame:
         return spark.createDataFrame([], schema)
 
 
-def _stem(path: Column) -> Column:
-    return F.url_decode(F.regexp_replace(F.regexp_extract(path, r"([^/]*)\.json$", 1), r"\+", "%2B"))
+def table_files(spark: SparkSession, folder: str) -> DataFrame:
+    """``stem, path`` of every ``*.json`` right in ``folder``; none if it is missing. Nothing is read but names."""
+    path = f"{folder.rstrip('/')}/*.json"
+    at = F.col("_metadata.file_path")
+    return _or_none(lambda: spark.read.format("binaryFile").load(path).select(file_stem(at).alias("stem"), at.alias("path")), spark, "stem string, path string")
 
 
 def file_stems(spark: SparkSession, folder: str) -> DataFrame:
     """``stem`` of every ``*.json`` right in ``folder``; none if it is missing. Nothing is read but names."""
-    path = f"{folder.rstrip('/')}/*.json"
-    return _or_none(lambda: spark.read.format("binaryFile").load(path).select(_stem(F.col("_metadata.file_path")).alias("stem")), spark, "stem string")
+    return table_files(spark, folder).select("stem")
 
 
 def json_files(spark: SparkSession, folder: str) -> DataFrame:
     """``stem, value`` of every ``*.json`` right in ``folder``, a row a file; none if it is missing.
 
-    The files of one table are the unit that is replaced and that fails alone,
-    so each is one row; large tables should come as several files.
+    For small files such as versions and accounts; tables are read in byte ranges by
+    :mod:`tidewright.sources.json_scan`.
     """
     path = f"{folder.rstrip('/')}/*.json"
     return _or_none(
-        lambda: spark.read.text(path, wholetext=True).select(_stem(F.col("_metadata.file_path")).alias("stem"), "value"), spark, "stem string, value string"
+        lambda: spark.read.text(path, wholetext=True).select(file_stem(F.col("_metadata.file_path")).alias("stem"), "value"), spark, "stem string, value string"
     )
 
 
-def json_table(spark: SparkSession, folder: str, stem: str) -> DataFrame:
-    """``stem, value`` of one file of ``folder``."""
-    return spark.read.text(f"{folder.rstrip('/')}/{stem}.json", wholetext=True).select(F.lit(stem).alias("stem"), "value")
-
-
 def is_array(value: Column) -> Column:
     """Whether a text is a JSON array."""
     return F.coalesce(F.schema_of_variant(F.try_parse_json(value)).startswith("ARRAY"), F.lit(False))
