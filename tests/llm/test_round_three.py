@@ -149,10 +149,9 @@ def test_damage_and_conversations_without_turns(spark):
 def plain_units(text, unit):
     if unit == "char":
         return list(text)
-    form = r"(?s)[^\x20\x09-\x0D]+[\x20\x09-\x0D]*" if unit == "word" else r"(?s)[^\n]*\n|[^\n]+"
-    lead = re.match(r"[\x20\x09-\x0D]*", text).group() if unit == "word" else ""
-    found = re.findall(form, text[len(lead) :])
-    return ([lead + found[0], *found[1:]] if found else [lead]) if lead else found
+    # White space goes with the word before it; at the start of a text it is a unit of its own.
+    form = r"(?s)^[\x20\x09-\x0D]+|[^\x20\x09-\x0D]+[\x20\x09-\x0D]*" if unit == "word" else r"(?s)[^\n]*\n|[^\n]+"
+    return re.findall(form, text)
 
 
 @pytest.mark.parametrize("unit", ["char", "word", "line"])

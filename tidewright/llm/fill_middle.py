@@ -29,8 +29,8 @@ _SPACE[[9, 10, 11, 12, 13, 32]] = True
 def begins(before: np.ndarray, here: np.ndarray, unit: str) -> np.ndarray:
     """Whether a unit begins at each byte of ``here``, by it and the byte before.
 
-    A ``char`` is a code point; a ``word`` has the white space after it, and a
-    ``line`` its end.
+    A ``char`` is a code point; a ``word`` has the white space after it (that at the
+    start of a text is a unit of its own), and a ``line`` its end.
     """
     if unit == "char":
         return (here & 0xC0) != 0x80
