@@ -270,7 +270,7 @@ def _led(calls: DataFrame, stored: Column) -> DataFrame:
     rows = materialize(calls.withColumn("_id", F.monotonically_increasing_id()).withColumn("_stored", F.coalesce(stored, F.lit(False))))
     by, order = ["key"], ["at", "late", "call", "id", "asks"]
     start, ends = F.col("start"), F.col("start") + F.col("took")
-    waits = F.col("_stored") & (F.col("took") > 0)
+    waits = F.coalesce(F.col("_stored") & (F.col("took") > 0), F.lit(False))  # a call without a time leaves nothing
 
     def event(at: Column, late: Column, call: Column, asks: int) -> Column:
         return F.struct(at.alias("at"), late.alias("late"), call.alias("call"), F.col("_id").alias("id"), F.lit(asks).alias("asks"))
