@@ -39,7 +39,7 @@ CLASHING = (
     "shard", "SLOT", "mix_slot", "_h", "_fp", "_m", "_src", "_rank", "_found", "lang_pred", "rid", "_rid", "hub", "_hub", "q_of", "j", "runs",
     "_j", "_period", "_run", "_runs", "_at", "_q", "_start", "_unit", "_unit_of", "_q_of", "_j_of", "_parent", "_got", "_none", "d", "h", "part", "place",
     "_part", "_place", "_of", "_made", "n", "s", "key", "cid", "sig", "keys", "tokens", "rule", "label", "_v", "_d", "_l", "size", "law", "id", "stretch",
-    "guest", "others", "root", "node", "first", "gone_part", "gone_place", "unit", "weight", "blocks", "_b", "_n", "_off", "p", "m",
+    "guest", "others", "root", "node", "first", "gone_part", "gone_place", "unit", "weight", "blocks", "_b", "_n", "_off", "p", "m", "_metadata",
 )
 
 

@@ -6,6 +6,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+from py4j.protocol import Py4JError
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -80,27 +81,39 @@ def distributed_rank(
     )
 
 
-def _one_table(docs: DataFrame) -> bool:
-    """Whether rows come from one table, by projections and filters only."""
+def _distinct_files(docs: DataFrame) -> bool:
+    """Whether rows come from one table of files, each read once, by projections and filters only."""
     plan = docs._jdf.queryExecution().analyzed()
     while plan.nodeName() in ("Project", "Filter", "SubqueryAlias"):
         plan = plan.children().head()
-    return plan.children().isEmpty()
+    if plan.getClass().getSimpleName() != "LogicalRelation":
+        return False
+    try:
+        files = plan.relation().location().inputFiles()
+    except Py4JError:  # no relation of files
+        return False
+    return len(files) == len(docs._jdf.inputFiles())  # the latter are distinct; the names stay in the JVM
 
 
 def read_order(docs: DataFrame, part: str, place: str) -> DataFrame:
     """Add ``part`` and ``place``, which tell rows apart and by which they are in their order.
 
     They are the files' names and the rows' places in them, however Spark deals
-    files to tasks, and the same at each look. Rows that are not of one table of files
-    are written to the shared folder first.
+    files to tasks, and the same at each look. Rows that are not of one table of files, or
+    of one that has a file twice, are written to the shared folder first. A column
+    ``_metadata`` of the table's own is no hindrance.
     """
-    if _one_table(docs):
+
+    def placed(rows: DataFrame) -> DataFrame:
+        at = rows.metadataColumn("_metadata")  # the hidden column, whatever the rows' own are called
+        return rows.select("*", at["file_path"].alias(part), at["row_index"].alias(place))
+
+    if _distinct_files(docs):
         try:
-            return docs.withColumn(part, F.col("_metadata.file_path")).withColumn(place, F.col("_metadata.row_index"))
+            return placed(docs)
         except AnalysisException:
-            pass  # no files
-    return materialize(docs).withColumn(part, F.col("_metadata.file_path")).withColumn(place, F.col("_metadata.row_index"))
+            pass  # files without places of rows
+    return placed(materialize(docs))
 
 
 def commonest(counts: DataFrame, n: str, most: int) -> tuple[DataFrame, int, int]:
