@@ -13,7 +13,7 @@ from pyspark.sql.types import BinaryType
 
 from tidewright.operators import ingest as I
 from tidewright.operators import schema as S
-from tidewright.plans.registry import query, table
+from tidewright.plans.registry import lay_file, line, query, table
 from tidewright.sources import files
 from tidewright.sources.commits import Files, TableSet
 from tidewright.sources.shared import new_folder
@@ -112,14 +112,9 @@ def _put(spark: SparkSession, path: str, text: str) -> None:
 
 def _put_array(records: DataFrame, path: str) -> None:
     """Lay down JSON texts (``value``) as one file with one array; other elements come first."""
-    spark, (folder, _, name) = records.sparkSession, path.rpartition("/")
-    line = lambda text: spark.range(1).select(F.lit(text).alias("value"))
-    lines = line('[17,"x"').unionByName(records.select(F.concat(F.lit(","), "value").alias("value"))).unionByName(line("]"))
-    lines.coalesce(1).write.text(f"{path}.parts")
-    files = Files(spark, folder)
-    (part,) = [n for n in files.names(f"{name}.parts") if n.startswith("part-")]
-    files.fs.rename(files.path(f"{name}.parts/{part}"), files.path(name))
-    files.delete(f"{name}.parts")
+    spark = records.sparkSession
+    body = records.select(F.lit(1).alias("section"), F.lit(0).cast("bigint").alias("nth"), F.concat(F.lit(","), "value").alias("value"))
+    lay_file(line(spark, 0, '[17,"x"').unionByName(body).unionByName(line(spark, 2, "]")), path)
 
 
 @query(

@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidewright.operators import restore as R
-from tidewright.plans.registry import query, table
+from tidewright.plans.registry import lay_file, line, query, table
 from tidewright.sources import codecs
+from tidewright.sources.columnar_scan import ColumnarScan
+from tidewright.sources.shared import new_folder
 
 SCHEMAS = [
     {
@@ -188,3 +190,22 @@ def s5(spark, sf_dir):
         codecs.object_text(codecs.msgpack_to_json("more")).alias("ordered"), codecs.msgpack_to_json("nested").isNotNull().alias("shallow"),
     )
     return v.select("c_custkey", F.col("v.c_custkey").alias("key"), F.col("v.c_name").alias("name"), F.col("v.c_acctbal").alias("amount"), "bad", "ordered", "shallow")
+
+
+@query(
+    "r10_r12_row_ranges",
+    """SELECT row_number() OVER (ORDER BY o_orderkey) - 1 AS pos, o_orderkey AS id, CASE WHEN o_orderkey % 5 < 3 THEN ['F','O','P'][1 + o_orderkey % 5] WHEN o_orderkey % 5 = 3 THEN 'kept' END AS status, 'a,"' || o_custkey AS customer FROM orders""",
+)
+def r10_ranges(spark, sf_dir):
+    """All orders as one columnar file, whose columns are read and put together by ranges."""
+    k = F.col("o_orderkey")
+    status = F.when(k % 5 == 3, '"kept"').when(k % 5 == 4, "9").otherwise((k % 5).cast("string"))
+    columns = {"id": k.cast("string"), "status": status, "customer": F.concat(F.lit('{"of":"a,\\"'), F.col("o_custkey"), F.lit('"}'))}
+    lines = line(spark, 0, '{"__ENUM__":{"status":["F","O","P"]},"note":"no array"')
+    for i, (name, value) in enumerate(columns.items()):
+        cells = table(spark, sf_dir, "orders").select(F.lit(3 * i + 2).alias("section"), k.cast("bigint").alias("nth"), F.concat(value, F.lit(",")).alias("value"))
+        lines = lines.unionByName(line(spark, 3 * i + 1, f',"{name}":[')).unionByName(cells).unionByName(line(spark, 3 * i + 3, "null]"))
+    path = f"{new_folder(spark)}/orders.json"
+    lay_file(lines.unionByName(line(spark, 99, "}")), path)
+    rows = ColumnarScan(spark, path).rows().where(_get("record", "$.id", "bigint").isNotNull())  # the last line is a null in each column
+    return rows.select("pos", _get("record", "$.id", "bigint").alias("id"), _get("record", "$.status", "string").alias("status"), _get("record", "$.customer.of", "string").alias("customer"))

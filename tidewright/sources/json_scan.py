@@ -28,8 +28,8 @@ def fragments(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     return read.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), "value")
 
 
-class _Batch:
-    """The bytes of some fragments of one split, with the ``}`` before each, and what they are made of."""
+class Bytes:
+    """The bytes of some fragments of one split, with what ended each before it, and what they are made of."""
 
     def __init__(self, data: np.ndarray):
         self.data = data
@@ -52,18 +52,25 @@ class _Batch:
         there = self.inside == inside
         return int((self.opens & there).sum()) - int((self.closes & there).sum())
 
+    def depths(self, inside: bool) -> np.ndarray:
+        """The depth after each byte, counted from where the bytes start."""
+        there = self.inside == inside
+        return np.cumsum((self.opens & there).astype(np.int64) - (self.closes & there))
+
     def edges(self, inside: bool, depth: int) -> tuple[np.ndarray, np.ndarray]:
         """Where records of the outer array start and where they have ended."""
         there = self.inside == inside
-        step = (self.opens & there).astype(np.int64) - (self.closes & there)
-        upto = depth + np.cumsum(step)
+        upto = depth + self.depths(inside)
         starts = np.flatnonzero(there & (self.data == 123) & (upto == 2))
         ends = np.flatnonzero(there & (self.data == 125) & (upto == 1)) + 1
         return starts, ends
 
 
-def _batches(stream: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, int, bool, np.ndarray]]:
-    """``path, block``, whether it is the first of its split, and bytes, for runs of fragments of one split."""
+def runs_of_splits(stream: Iterator[pa.RecordBatch], end: int) -> Iterator[tuple[str, int, bool, np.ndarray]]:
+    """``path, block``, whether it is the first of its split, and bytes, for runs of fragments of one split.
+
+    Before each fragment but a file's first stands the byte ``end``, which ended the one before.
+    """
     last = None
     for batch in stream:
         if not batch.num_rows:
@@ -77,7 +84,7 @@ def _batches(stream: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, int, bool,
             raw = some.buffers()[2]
             text = np.frombuffer(raw, np.uint8)[offsets[0] : offsets[-1]] if raw is not None else np.zeros(0, np.uint8)
             lengths = np.diff(offsets)
-            data = np.full(len(text) + len(lengths), 125, np.uint8)  # a } before each fragment
+            data = np.full(len(text) + len(lengths), end, np.uint8)
             keep = np.ones(len(data), bool)
             keep[np.cumsum(lengths + 1) - lengths - 1] = False
             data[keep] = text
@@ -94,12 +101,12 @@ def split_states(rows: DataFrame) -> DataFrame:
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, quotes, change = None, 0, [0, 0]
         done: list[tuple] = []
-        for path, block, first, data in _batches(stream):
+        for path, block, first, data in runs_of_splits(stream, 125):
             if first and key is not None:
                 done.append((*key, quotes, *change))
             if first:
                 key, quotes, change = (path, block), 0, [0, 0]
-            b = _Batch(data)
+            b = Bytes(data)
             for k in (0, 1):
                 change[k] += b.change(bool((quotes + k) & 1))
             quotes += b.quotes
@@ -159,13 +166,13 @@ def cut_splits(rows: DataFrame, starts: dict[tuple[str, int], tuple[bool, int]])
             if last is not None:
                 yield last
 
-        for path, block, first, data in _batches(stream):
+        for path, block, first, data in runs_of_splits(stream, 125):
             if first:
                 if key is not None:
                     yield from close()
                 key, held, seq, open_left = (path, block), [], 0, block > 0
                 odd, depth = shared.value[key]
-            b = _Batch(data)
+            b = Bytes(data)
             begins, ends = b.edges(odd, depth)
             depth += b.change(odd)
             odd ^= bool(b.quotes & 1)
