@@ -300,3 +300,28 @@ def test_definitions(spark):
     assert entries["gamecards"] == {"name": "gamecards", "columns": ["game_id:int64", "server_region:string"], "unique_keys": [["game_id", "server_region"]]}
     schema.create_account_tables(spark, "users_t", "grants_t")
     assert spark.table("grants_t").columns == ["user_id", "server"]
+
+
+ORDERED = [
+    ({"type": "array", "items": "long"}, "[3, 1,\n2]", "[3,1,2]"),
+    ("Order", '{"b":1.25,"Status":"x","a":{"z":1,"y":[true,null]},"OrderKey":1}', '{"orderKey":1,"status":"x","b":1.25,"a":{"z":1,"y":[true,null]}}'),
+    ("Order", '{"status":"own","OrderKey":null,"Status":"lost"}', '{"status":"own"}'),
+    ("Order", "[1,2]", "{}"),
+    ("Order", "7", "7"),
+    ("shop.Customer", '[1,null,9,[["a\\"b",2]]]', '{"custKey":1,"costs":[{"kind":"a\\"b","amount":2}]}'),
+    ("Tagged", "[0,[5]]", '{"__type":0,"value":{"custKey":5}}'),
+    ("Tagged", '["x",[5,"1"]]', '{"__type":0,"value":{"custKey":5,"name":"1"}}'),
+    ("Tagged", "[9,[5]]", '{"__type":9,"value":[5]}'),
+    ("Tagged", "[1]", "[1]"),
+    ({"type": "map", "values": ["null", "Order"]}, '{"b":{"OrderKey":"1"},"a":null}', '{"b":{"orderKey":"1"},"a":null}'),
+]
+
+
+def test_ordered_restores_as_text(spark):
+    from tidewright.operators.ordered import OrderedRegistry
+    from tidewright.plans.restore_queries import SCHEMAS
+
+    registry = OrderedRegistry(SCHEMAS)
+    for schema, text, want in ORDERED:
+        assert one(spark, registry.compile(schema)(F.lit(text))) == want, text
+    assert one(spark, registry.compile("Order")(F.lit(None).cast("string"))) is None

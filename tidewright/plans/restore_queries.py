@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidewright.operators import restore as R
+from tidewright.operators.ordered import OrderedRegistry
 from tidewright.plans.registry import lay_file, line, query, table
 from tidewright.sources import codecs
 from tidewright.sources.columnar_scan import ColumnarScan
@@ -83,6 +84,22 @@ def r3(spark, sf_dir):
     )
 
 
+@query(
+    "r3_r4_ordered",
+    """SELECT o_orderkey, CASE o_orderkey % 3 WHEN 0 THEN '{"orderKey":' || o_orderkey || ',"status":"' || o_orderstatus || '","zeta":{"b":1,"a":[2,"x"]},"extra":"' || o_orderpriority || '","void":null}'
+         WHEN 1 THEN '{"orderKey":' || o_orderkey || ',"status":"own","1":"1"}' ELSE '[{"custKey":' || o_custkey || ',"name":"n\\"","costs":[{"kind":"' || o_orderstatus || '","amount":1.25}]},7]' END AS text FROM orders""",
+)
+def r3_ordered(spark, sf_dir):
+    """Fields in the order of the schema, then what is left over in its own order; looked at as text."""
+    k, quote = F.col("o_orderkey"), lambda c: F.concat(F.lit('"'), c, F.lit('"'))
+    keyed = F.concat(F.lit('{"zeta":{"b":1,"a":[2,"x"]},"Status":'), quote(F.col("o_orderstatus")), F.lit(', "extra":'), quote(F.col("o_orderpriority")), F.lit(',"void":null,"OrderKey":'), k, F.lit("}"))
+    clash = F.concat(F.lit('{"status":"own","1":"1","Status":"lost","OrderKey":'), k, F.lit("}"))
+    placed = F.concat(F.lit("[["), F.col("o_custkey"), F.lit(',"n\\"",null,[['), quote(F.col("o_orderstatus")), F.lit(",1.25]]],7]"))
+    orders = OrderedRegistry(SCHEMAS)
+    text = F.when(k % 3 == 0, orders.compile("Order")(keyed)).when(k % 3 == 1, orders.compile("Order")(clash)).otherwise(orders.compile({"type": "array", "items": ["null", "shop.Customer"]})(placed))
+    return table(spark, sf_dir, "orders").select("o_orderkey", text.alias("text"))
+
+
 @query(
     "r6_r7_r9_maps",
     """SELECT c_custkey, c_mktsegment AS kind, CASE WHEN c_custkey % 2 = 0 THEN c_acctbal END AS amount FROM customer""",
