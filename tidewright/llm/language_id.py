@@ -78,8 +78,8 @@ def fit(packed: np.ndarray, labels: list[str], per_class_landmarks: int = 16, mo
 
 def train(docs: DataFrame, learn: Column, per_class: int = 250, most: int = 20_000) -> KernelRidge | None:
     """Fit on at most ``per_class`` whole texts of each language in ``docs``, ``most`` in all; every language has some."""
-    rows = docs.where(learn & F.col("lang").isNotNull() & has_letter(F.col("text"))).select("doc_id", "lang")
-    return fit(*class_sample(docs, rows, "lang", per_class, most, seed=4, sizes=SIZES, bits=BITS, lower=True))
+    known = docs.where(learn & F.col("lang").isNotNull() & has_letter(F.col("text")))  # also of repeated ids only such rows
+    return fit(*class_sample(known, known.select("doc_id", "lang"), "lang", per_class, most, seed=4, sizes=SIZES, bits=BITS, lower=True))
 
 
 def predict(docs: DataFrame, model: KernelRidge | None) -> DataFrame:

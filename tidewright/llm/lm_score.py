@@ -306,7 +306,8 @@ def train(numbers: DataFrame, vocab: Vocabulary, width: int = 32, rounds: int =
 
     In a round each shard starts from the same parameters and trains on its tokens;
     a task adds up its shards' parameters, in blocks, which are summed in two steps,
-    so the driver gets one model. The model does not depend on how tables are split.
+    so the driver gets one model. The model does not depend on how tasks read the files;
+    the same rows in other files are dealt to shards otherwise and give another one.
     """
     model = LogBilinear.start(vocab.share, vocab.contexts, width)
     if not vocab.total:
