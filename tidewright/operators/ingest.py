@@ -66,7 +66,15 @@ def coerce(value: Column, sort: str) -> Column:
     A string takes every value, structured ones as JSON.
     """
     k = kind(value)
-    text = trimmed(F.when(k == "STRING", F.try_variant_get(value, "$", "string")))
+    return _coerced(value, k, _text_of(value, k), sort)
+
+
+def _text_of(value: Column, k: Column) -> Column:
+    return trimmed(F.when(k == "STRING", F.try_variant_get(value, "$", "string")))
+
+
+def _coerced(value: Column, k: Column, text: Column, sort: str) -> Column:
+    """:func:`coerce` of a value whose kind and trimmed text are known."""
     if sort in ("int64", "int32", "int"):
         whole = F.when(text.rlike(r"^[+-]?[0-9]+$"), text.try_cast("bigint"))
         return F.when(k == "BIGINT", F.try_variant_get(value, "$", "bigint")).otherwise(whole)
@@ -102,15 +110,19 @@ def typed_rows(records: DataFrame, columns: dict[str, str], region: str | Column
     Keys without a column are dropped, columns without a key are typed nulls.
     ``special`` overrides columns by expressions over the map ``_by_key``.
     """
-    found = with_plain_keys(records)
     special = special or {}
-    made = []
-    for name, sort in columns.items():
-        value = special.get(name)
-        if value is None:
-            value = coerce(F.try_element_at("_by_key", F.lit(plain_column(name))), sort)
-        made.append(value.cast(_TYPES.get(sort, "variant")).alias(name))
-    return found.select(*keep, *made, (F.lit(region) if isinstance(region, str) else region).alias("server_region"))
+    where = F.lit(region) if isinstance(region, str) else region
+    rows = with_plain_keys(records).withColumn("_region_of", where)
+    # A cell's value, its kind and its text are columns of their own: each is worked out once, whatever asks for it.
+    plain = [(f"_{i}", name, sort) for i, (name, sort) in enumerate(columns.items()) if name not in special]
+    given = {name: (f"_s{i}", value) for i, (name, value) in enumerate(special.items()) if name in columns}
+    carry = [*keep, "_region_of"]
+    rows = rows.select(*carry, *[v.alias(c) for c, v in given.values()], *[F.try_element_at("_by_key", F.lit(plain_column(name))).alias(f"{c}v") for c, name, _ in plain])
+    carry += [c for c, _ in given.values()]
+    rows = rows.select(*carry, *[f"{c}v" for c, _, _ in plain], *[kind(F.col(f"{c}v")).alias(f"{c}k") for c, _, _ in plain])
+    rows = rows.select(*carry, *[f"{c}{x}" for c, _, _ in plain for x in "vk"], *[_text_of(F.col(f"{c}v"), F.col(f"{c}k")).alias(f"{c}t") for c, _, _ in plain])
+    value = {name: _coerced(*[F.col(f"{c}{x}") for x in "vkt"], sort) for c, name, sort in plain} | {name: F.col(c) for name, (c, _) in given.items()}
+    return rows.select(*keep, *[value[name].cast(_TYPES.get(sort, "variant")).alias(name) for name, sort in columns.items()], F.col("_region_of").alias("server_region"))
 
 
 def archive_name(column: str = "assetbundle_name") -> Column:
