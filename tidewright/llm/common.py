@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+import ctypes
+import functools
+from collections.abc import Callable, Iterable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -156,6 +158,26 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
+def trim_memory() -> None:
+    """Give freed memory back to the system: Python workers outlive their tasks, and keep it else."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):
+        pass  # another C library
+
+
+def gives_back(task: Callable[[Iterable], Iterator]) -> Callable[[Iterable], Iterator]:
+    """A task's function over batches that ends with :func:`trim_memory`."""
+
+    @functools.wraps(task)
+    def run(batches):
+        yield from task(batches)
+        trim_memory()
+
+    return run
+
+
 def by_bytes(offsets: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
     """Row ranges of at most ``most`` bytes each; a longer row has one of its own."""
     n, i = len(offsets) - 1, 0

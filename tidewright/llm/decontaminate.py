@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewright.llm.common import fresh
+from tidewright.llm.common import fresh, gives_back
 
 #: Words are runs of letters and digits; every other ASCII character is a space.
 _SPACED = bytes(c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
@@ -190,6 +190,7 @@ def _spread(docs: DataFrame, items: Items) -> dict[int, int]:
     """The number of documents that hold each seed, and of all (-1), summed in tasks and then over them."""
     sent = docs.sparkSession.sparkContext.broadcast(items)
 
+    @gives_back
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         items = sent.value
         held = np.zeros(len(items.seeds), np.int64)
@@ -209,6 +210,7 @@ def _spread(docs: DataFrame, items: Items) -> dict[int, int]:
 
 def _matching(sent, share: float):
     @F.arrow_udf(MATCHES)
+    @gives_back
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         items = sent.value
         kind = pa.struct([("item_id", pa.int64()), ("score", pa.float64()), ("first_word", pa.int32()), ("last_word", pa.int32())])

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewright.llm.common import crc_mod, fresh
+from tidewright.llm.common import crc_mod, fresh, gives_back
 from tidewright.llm.ngrams import class_sample, has_letter, presence_blocks
 
 SIZES, BITS = (1, 2, 3), 15
@@ -92,6 +92,7 @@ def predict(docs: DataFrame, model: KernelRidge | None) -> DataFrame:
     """
 
     @F.arrow_udf("lang string, score double")
+    @gives_back
     def decide(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         model.prepare()
         names = np.array(model.classes, dtype=object)

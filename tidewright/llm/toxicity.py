@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewright.llm.common import by_bytes, crc_mod, text_bytes
+from tidewright.llm.common import by_bytes, crc_mod, gives_back, text_bytes
 from tidewright.llm.ngrams import LOWER, first_of_each, sampled_texts
 
 WINDOW, STEP = 64, 48
@@ -443,6 +443,7 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, label: str = "toxic
         return None
 
     @F.arrow_udf("array<binary>")
+    @gives_back
     def cut(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for column in batches:
             yield pa.array(list(spread_windows(column, windows)), pa.list_(pa.binary()))
@@ -471,6 +472,7 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, per_class: int = 1500) -
         network = docs.sparkSession.sparkContext.broadcast(model)  # a few MB, fixed by the parameters
 
         @F.arrow_udf("double")
+        @gives_back
         def scored(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
             for column in batches:
                 yield pa.array(network.value.probability(network.value.highest(column)), pa.float64())
