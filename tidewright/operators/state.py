@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -258,14 +260,50 @@ def cached(calls: DataFrame) -> DataFrame:
     return _led(calls, F.col("ok")).withColumn("hit", F.col("leader") != F.col("call"))
 
 
+def _inner(rows: pd.DataFrame) -> np.ndarray:
+    """Of the calls of a range the place of the one that each goes on to in the range; the place after all for none."""
+    ids = rows["id"].to_numpy()
+    order = np.argsort(ids)
+    inside = (rows["to_range"] == rows["range"]).to_numpy()
+    to = order[np.minimum(np.searchsorted(ids, rows["to"].to_numpy(), sorter=order), len(ids) - 1)]
+    return np.append(np.where(inside, to, len(ids)), len(ids))
+
+
+def _ways_out(rows: pd.DataFrame) -> pd.DataFrame:
+    """Of each call of a range the call in another one that its chain comes to; none where the chain ends before."""
+    to, n = _inner(rows), len(rows)
+    last = np.where(to == n, np.arange(n + 1), to)  # the end of a chain stays there
+    while True:
+        further = last[last]
+        if (further == last).all():
+            break
+        last = further
+    out = rows["to"].to_numpy()[last[:n]]
+    return pd.DataFrame({"id": rows["id"].to_numpy()[out >= 0], "to": out[out >= 0]})
+
+
+def _led_from(rows: pd.DataFrame) -> pd.DataFrame:
+    """The calls of a range that lead: those it is entered at, and those that chains go on to from there."""
+    to, on = _inner(rows), np.append(rows["led"].to_numpy(bool), False)
+    while True:
+        more = on.copy()
+        more[to[on]] = True
+        more[-1] = False
+        to = to[to]
+        if (more == on).all() and (to == len(rows)).all():
+            break
+        on = more
+    return pd.DataFrame({"lead": rows["id"].to_numpy()[on[:-1]]})
+
+
 def _led(calls: DataFrame, stored: Column) -> DataFrame:
     """Add each call's ``leader``.
 
     If a call leads, it is known which one leads next: the first that starts at or
     after its end, or its successor if nothing was stored. So leaders are a chain
-    from a key's first call. The next ones are found inside ranges of time, and the
-    chain by pointer doubling: each round doubles the calls known to lead and the
-    length of a hop. No list of a key's calls is built.
+    from a key's first call. The next ones are found inside ranges of time; a chain is
+    followed inside a range, which is of bounded size, at once, and from range to range by
+    pointer doubling over joins. No list of a key's calls is built.
     """
     rows = materialize(calls.withColumn("_id", F.monotonically_increasing_id()).withColumn("_stored", F.coalesce(stored, F.lit(False))))
     by, order = ["key"], ["at", "late", "call", "id", "asks"]
@@ -282,21 +320,28 @@ def _led(calls: DataFrame, stored: Column) -> DataFrame:
 
     # The first call after each question, in its range or the next one that has any.
     back = Window.partitionBy(*by, "_range").orderBy(*[F.desc_nulls_last(c) for c in order]).rowsBetween(Window.unboundedPreceding, -1)
-    first = F.min_by(F.when(is_call, F.col("id")), F.when(is_call, F.struct(*order)))
+    call = F.when(is_call, F.struct("id", "_range"))
+    first = F.min_by(call, F.when(is_call, F.struct(*order)))
     known = carried(cut, by, {"_first": first}, lambda k: k.withColumn("_next", F.last("_first", ignorenulls=True).over(later(by))), ["_next"])
-    found = F.coalesce(F.last(F.when(is_call, F.col("id")), ignorenulls=True).over(back), F.col("_next"))
-    hops = known.withColumn("to", found).where("asks = 1 and to is not null").select("id", "to")
+    found = F.coalesce(F.last(call, ignorenulls=True).over(back), F.col("_next"))
+    asked_of = known.withColumn("to", found).where("asks = 1 and to is not null").select("id", F.col("to.id").alias("to"), F.col("to._range").alias("to_range"))
+    calls_at = cut.where(is_call).select(F.col("id").alias("_c"), F.col("_range").alias("range"))
+    hops = materialize(calls_at.join(asked_of, F.col("_c") == F.col("id"), "left").select(F.col("_c").alias("id"), "range", *[F.coalesce(c, F.lit(-1)).alias(c) for c in ("to", "to_range")]))
 
-    hops = materialize(hops)
+    # Inside a range chains are followed at once; only the way from where a chain comes into a range to where it leaves it is doubled.
+    ways = materialize(hops.groupBy("range").applyInPandas(_ways_out, "id bigint, to bigint"))
     lead = materialize(cut.where(is_call).groupBy("key").agg(F.min_by("id", F.struct(*order)).alias("lead")).select("lead"))
-    new = lead
-    while True:
-        new = materialize(lead.join(hops, F.col("lead") == F.col("id")).select(F.col("to").alias("lead")))
+    enters = lead.unionByName(ways.select(F.col("to").alias("lead"))).distinct()
+    far = materialize(ways.join(enters, F.col("id") == F.col("lead"), "left_semi"))
+    while not far.isEmpty():
+        new = materialize(lead.join(far, F.col("lead") == F.col("id")).select(F.col("to").alias("lead")))
         if new.isEmpty():
             break
         lead = lead.unionByName(new)
-        further = hops.select(F.col("id").alias("to_id"), F.col("to").alias("to_to"))
-        hops = materialize(hops.join(further, F.col("to") == F.col("to_id")).select("id", F.col("to_to").alias("to")))
+        further = far.select(F.col("id").alias("to_id"), F.col("to").alias("to_to"))
+        far = materialize(far.join(further, F.col("to") == F.col("to_id")).select("id", F.col("to_to").alias("to")))
+    entered = hops.join(lead, F.col("id") == F.col("lead"), "left").select("id", "range", "to", "to_range", F.col("lead").isNotNull().alias("led"))
+    lead = entered.groupBy("range").applyInPandas(_led_from, "lead bigint")
 
     led = cut.where(is_call).join(lead, F.col("id") == F.col("lead"), "left").withColumn("_l", F.when(F.col("lead").isNotNull(), F.struct("call")))
     last = F.max_by("_l", F.when(F.col("_l").isNotNull(), F.struct(*order)))

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidewright.functions.text import REGIONS
 from tidewright.operators import state as S
+from tidewright.operators.schema import create_account_tables
 from tidewright.plans.registry import query, table
+from tidewright.sources.shared import materialize
 
 
 def _line():
@@ -95,6 +99,27 @@ def p1(spark, sf_dir):
     return S.authorize(requests, users, grants, user_fault=k % 31 == 0, grant_fault=k % 29 == 0).select("o_orderkey", F.col("status").cast("bigint").alias("status"))
 
 
+@query(
+    "k7_account_tables",
+    """SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN 401 WHEN c_custkey % 2 = 1 THEN 403 ELSE 200 END::BIGINT AS status FROM customer""",
+)
+def k7(spark, sf_dir):
+    """The two tables made (a second time without effect), filled, and asked; the answer stays when they go."""
+    c, key = table(spark, sf_dir, "customer"), F.col("c_custkey")
+    mark = uuid.uuid4().hex
+    users, grants = f"users_{mark}", f"grants_{mark}"
+    for _ in range(2):
+        create_account_tables(spark, users, grants)
+        if spark.table(users).isEmpty():
+            c.select(key.cast("string").alias("id"), F.col("c_name").alias("credential"), F.lit(None).cast("string").alias("remark")).write.insertInto(users)
+            c.where(key % 2 == 0).select(key.cast("string").alias("user_id"), F.lit("jp").alias("server")).write.insertInto(grants)
+    requests = c.select("c_custkey", key.cast("string").alias("user_id"), F.when(key % 3 != 0, F.col("c_name")).alias("credential"), F.lit("jp").alias("server"))
+    answered = materialize(S.authorize(requests, spark.table(users), spark.table(grants)).select("c_custkey", F.col("status").cast("bigint").alias("status")))
+    for name in (users, grants):
+        spark.sql(f"DROP TABLE {name}")
+    return answered
+
+
 @query(
     "a1_a2_summaries",
     """WITH e AS (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS s FROM events),
