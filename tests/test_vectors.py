@@ -25,6 +25,7 @@ def js(spark, value):
     return F.parse_json(F.lit(json.dumps(value)))
 
 
+# The cases below, in this order, are given; results must be these.
 @pytest.mark.parametrize("a,b,want", [("6.0.0.1", "6.0.0", True), ("6.0", "6.0.0", False), ("10.0", "9.9", True), ("a", "1", None), ("", "1", None)])
 def test_version_newer(spark, a, b, want):
     assert one(spark, T.version_newer(F.lit(a), F.lit(b))) is want
