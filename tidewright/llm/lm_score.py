@@ -324,11 +324,13 @@ def train(numbers: DataFrame, vocab: Vocabulary, width: int = 32, rounds: int =
 
             def learn() -> int:
                 nonlocal held, size
-                out = np.concatenate(held).astype(np.int64) if held else np.zeros(0, np.int64)
+                if not held:  # the shard's last text filled a group
+                    return 0
+                out = np.concatenate(held).astype(np.int64)
                 starts = np.cumsum([0, *map(len, held[:-1])])
                 held, size = [], 0
                 u, v = contexts(context[out], starts, context[end])
-                at = targets(starts, len(out), number, rounds) if len(out) else out
+                at = targets(starts, len(out), number, rounds)
                 trainer.rng.shuffle(at)
                 for i in range(0, len(at), batch):
                     k = at[i : i + batch]
