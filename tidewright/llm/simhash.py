@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewright.llm.common import materialize, text_bytes
+from tidewright.llm.common import gives_back, materialize, text_bytes
 from tidewright.llm.components import components
 
 #: Generator of the Golay code, x^11 + x^10 + x^6 + x^5 + x^4 + x^2 + 1 (a fixed value).
@@ -184,6 +184,7 @@ def fingerprints(docs: DataFrame, out: str, text: str = "text") -> DataFrame:
 
 
 def _keyed(make, batch_rows: int = 4096):
+    @gives_back
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             prints = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
@@ -205,6 +206,7 @@ def _linked(limit: int):
         columns = [pa.array(np.full(len(a), kind, np.int8)), pa.array(a.view(np.int64)), pa.array(b.view(np.int64))]
         return pa.RecordBatch.from_arrays(columns, names=["kind", "a", "b"])
 
+    @gives_back
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held_key, held, over = None, [], False
 
