@@ -180,10 +180,12 @@ def first_outcome(attempts: DataFrame) -> DataFrame:
 def round_robin(slots: DataFrame) -> DataFrame:
     """Of each request the first idle slot from the cursor on, around; the cursor's if all are busy.
 
-    ``slots`` has ``request, idx, busy, cursor, n``.
+    ``slots`` has ``request, idx, busy, cursor, n``. Slots of which it is not known
+    whether they are busy (null) come last.
     """
     away = F.pmod(F.col("idx") - F.col("cursor"), F.col("n"))
-    return slots.groupBy("request").agg(F.min_by("idx", F.struct("busy", away.alias("away"))).alias("idx"))
+    order = F.struct(F.col("busy").isNull().alias("unknown"), "busy", away.alias("away"))
+    return slots.groupBy("request").agg(F.min_by("idx", order).alias("idx"))
 
 
 def first_wins(rows: DataFrame, key: str, value: str, order: str) -> DataFrame:

@@ -184,10 +184,15 @@ def o1(spark, sf_dir):
        SELECT request, idx FROM a QUALIFY row_number() OVER (PARTITION BY request ORDER BY busy, away) = 1""",
 )
 def o4(spark, sf_dir):
-    rows = table(spark, sf_dir, "lineitem")
-    n = rows.groupBy(F.col("l_orderkey").alias("k")).agg(F.count(F.lit(1)).alias("n"))
-    slots = rows.join(n, F.col("l_orderkey") == F.col("k")).select(
-        F.col("l_orderkey").alias("request"), (F.row_number().over(Window.partitionBy("l_orderkey").orderBy(_line())) - 1).cast("bigint").alias("idx"), (F.col("l_partkey") % 2 == 0).alias("busy"), (F.col("l_orderkey") % F.col("n")).alias("cursor"), "n"
+    rows, of_order = table(spark, sf_dir, "lineitem"), Window.partitionBy("l_orderkey")
+    listed = of_order.orderBy(*[F.asc_nulls_last(c) for c in ("l_linenumber", "l_partkey", "l_suppkey")])  # one number of them would mix large keys up
+    n = F.count(F.lit(1)).over(of_order)
+    slots = rows.select(
+        F.col("l_orderkey").alias("request"),
+        (F.row_number().over(listed) - 1).cast("bigint").alias("idx"),
+        (F.col("l_partkey") % 2 == 0).alias("busy"),
+        (F.col("l_orderkey") % n).alias("cursor"),
+        n.alias("n"),
     )
     return S.round_robin(slots)
 
